@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import plain_names, survivorship
+from graphloom.llm import plain_names, survivorship, value_mapping
 from graphloom.sources.tables import table
 
 
@@ -20,7 +20,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return plain_names.found(table(spark, folder, "entity"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found)}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return value_mapping.found(*[table(spark, folder, t) for t in ("entity", "chat_request", "campus_list")])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found)}
 
 _NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
 _BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
