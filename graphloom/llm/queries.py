@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import plain_names, survivorship, value_mapping
+from graphloom.llm import entity_matching, plain_names, survivorship, value_mapping
 from graphloom.sources.tables import table
 
 
@@ -24,7 +24,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return value_mapping.found(*[table(spark, folder, t) for t in ("entity", "chat_request", "campus_list")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_matching.found(*[table(spark, folder, t) for t in ("program_listing", "entity", "feed_trust", "campus_list")])
+
+
+def p6_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_matching.match(*[table(spark, folder, t) for t in ("program_listing", "entity", "feed_trust", "campus_list")])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence)}
 
 _NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
 _BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
