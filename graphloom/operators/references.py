@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import spread_join
+
 #: Into how many parts the references to one key are spread when the keys' standing is joined back.
 SALTS = 16
 
@@ -33,10 +35,9 @@ def orphans(relationship: DataFrame, entity: DataFrame) -> DataFrame:
     known = parents(entity)
     nowhere = keys.join(known, "key", "left_anti").select("key", F.lit(True).alias("missing"), F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("timestamp").alias("removed_at"))
     at_times = keys.join(known, "key").filter("first_at > low OR removed_at <= high").select("key", F.lit(False).alias("missing"), "first_at", "removed_at")
-    suspect = nowhere.unionByName(at_times).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = refs.withColumn("salt", F.pmod(F.xxhash64("rel_id"), F.lit(SALTS)).cast("int"))
+    suspect = nowhere.unionByName(at_times)
     kind = F.when(F.col("missing"), "missing").when(F.col("first_at") > F.col("seen_at"), "late").when(F.col("removed_at") <= F.col("seen_at"), "removed")
-    return spread.join(suspect, ["key", "salt"]).withColumn("kind", kind).filter("kind IS NOT NULL").select("rel_id", "ref_field", "kind", "seen_at")
+    return spread_join(refs, suspect, ["key"], "rel_id", salts=SALTS).withColumn("kind", kind).filter("kind IS NOT NULL").select("rel_id", "ref_field", "kind", "seen_at")
 
 
 def found(relationship: DataFrame, entity: DataFrame) -> DataFrame:
