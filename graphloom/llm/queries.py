@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import entity_matching, plain_names, survivorship, value_mapping
+from graphloom.llm import broken_pairs, entity_matching, plain_names, survivorship, value_mapping
 from graphloom.sources.tables import table
 
 
@@ -32,7 +32,11 @@ def p6_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return entity_matching.match(*[table(spark, folder, t) for t in ("program_listing", "entity", "feed_trust", "campus_list")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_pairs.found(*[table(spark, folder, t) for t in ("chat_request", "chat_response", "eval_results")])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence, p7_found)}
 
 _NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
 _BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.lookalikes import plain_form
+from graphloom.operators.skew import spread_join
 
 #: Words that people put around a name and that name nothing themselves.
 FILLERS = ("campus", "campuses", "cmps", "cmp", "main", "the", "one", "near", "in", "at", "of", "city", "old", "ex", "former", "formerly", "new", "branch", "site", "all", "any")
@@ -176,6 +177,4 @@ def found(entity: DataFrame, chat_request: DataFrame, campus_list: DataFrame) ->
     )
     codes = F.broadcast(campus_list.select(F.col("campus_code").alias("value")))
     typed = given.filter("value IS NOT NULL AND value <> ''").join(codes, "value", "left_anti").distinct()
-    salts = 8
-    mapped = map_values(typed, campus_list).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return typed.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).join(mapped, ["value", "salt"]).select("src_table", "row_id", F.col("code").alias("campus_code"))
+    return spread_join(typed, map_values(typed, campus_list), ["value"], "row_id").select("src_table", "row_id", F.col("code").alias("campus_code"))
