@@ -172,8 +172,14 @@ def accounted(hits: list[tuple[int, int, int, int]]) -> list[int]:
     for case, a, b, cost in hits:
         own = by_case.setdefault(case, {})
         own[a, b] = min(cost, own.get((a, b), EDITS + 1))
-    covered: dict[int, set[int]] = {case: {k for a, b in own for k in range(a, b)} for case, own in by_case.items()}
-    order = sorted(by_case, key=lambda c: (-len(covered[c]), min(by_case[c].values()), c))
+    weight: dict[int, int] = {}
+    for case, own in by_case.items():
+        spared: dict[int, int] = {}
+        for (a, b), cost in own.items():
+            for k in range(a, b):
+                spared[k] = max(EDITS + 1 - cost, spared.get(k, 0))
+        weight[case] = sum(spared.values())
+    order = sorted(by_case, key=lambda c: (-weight[c], c))
     best: dict[int, int] = {}
     accepted = []
     for case in order:
