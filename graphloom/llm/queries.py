@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import broken_pairs, entity_matching, leakage, plain_names, survivorship, value_mapping
+from graphloom.llm import broken_pairs, entity_matching, leakage, plain_names, sentences, survivorship, value_mapping
 from graphloom.sources.tables import table
 
 
@@ -44,7 +44,11 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.report(table(spark, folder, "documents"), table(spark, folder, "eval_case"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence, p7_found, p8_found, p8_report)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.found(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence, p7_found, p8_found, p8_report, p10_found)}
 
 _NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
 _BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
