@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import broken_pairs, entity_matching, leakage, plain_names, sentences, survivorship, value_mapping
+from graphloom.llm import broken_pairs, entity_matching, leakage, mixing, plain_names, sentences, survivorship, value_mapping
 from graphloom.sources.tables import table
 
 
@@ -48,7 +48,16 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.found(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence, p7_found, p8_found, p8_report, p10_found)}
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target")).select("doc_id", "source", "tokens", "repeats")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_target")
+    return mixing.shares(mixing.mix(table(spark, folder, "documents"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p5_found, p6_found, p6_confidence, p7_found, p8_found, p8_report, p9_mix, p9_shares, p10_found)}
 
 _NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
 _BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"

@@ -34,6 +34,8 @@ EITHER = frozenset("a.m p.m etc al inc ltd co ff corp sept févr h okt min dec n
 #: Months that follow the number of a day.
 MONTHS = frozenset("""januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sept okt nov dez
 january february march may june july october december""".split())
+#: Words between which and a capital a number with a full stop is an ordinal.
+ARTICLES = frozenset("der die das dem den des am zum zur im vom beim jede jeder jedes".split())
 MARKS, CLOSERS = ".!?…।॥。！？", "\"”»“」』)]）】"
 _CANDIDATE = re.compile(rf"([{MARKS}]+)([{re.escape(CLOSERS)}]*)")
 _SPAN = re.compile(r"\([^()\n]*(?:\n[^()\n]+)*\)|（[^（）]*）|“[^“”„]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|\[[^\[\]]*\]")
@@ -224,7 +226,7 @@ def label(p: Place, starts: set[str]) -> int | None:
     if p.mark in "!?":
         return 1 if as_ in ("Cap", "Caps", "C", "dev", "tam", "tha", "cjk", "open", "int", "num", "none") else None
     if p.mark == "…":
-        return None
+        return 0 if as_ == "cjk" else None
     if bs == "dev":
         return 0
     if bare in EITHER:
@@ -235,7 +237,7 @@ def label(p: Place, starts: set[str]) -> int | None:
         return 1
     if as_ in ("int", "num"):
         return None
-    if bs == "int" and len(bare) <= 2 and after.lower() in MONTHS:
+    if bs == "int" and len(bare) <= 2 and (after.lower() in MONTHS or p.before2.lower() in ARTICLES and as_ == "Cap"):
         return 0
     if bs == "tam" and len(bare) > 3 and as_ in ("tam", "Cap", "open"):
         return 1
