@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import pipeline_queries
+from graphloom.plans import pipeline_queries, retrieval_queries
 
-PARTS = (pipeline_queries,)
+PARTS = (pipeline_queries, retrieval_queries)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "bm25_search_diverse"
