@@ -86,7 +86,7 @@ def is_empty(answer: str) -> bool:
 def is_copy(question: str, answer: str) -> bool:
     """Whether the answer, apart from an announcement, is made of the question's words in their order, once or repeated."""
     q, a = tokens(question), without(LEADS, without(POLITE, tokens(answer)))
-    if not q or not a or not set(q) >= set(a[:2]) or len(a) > 20 * len(q):
+    if not q or not a or len(set(a) & set(q)) < SHINGLED * len(set(a)) or len(a) > 20 * len(q):
         return False
     q *= max(1, round(len(a) / len(q)))
     n = common_length(a, q)
@@ -204,7 +204,7 @@ def defects(pairs: DataFrame, addresses: DataFrame) -> DataFrame:
 
 
 def found(chat_request: DataFrame, chat_response: DataFrame, eval_results: DataFrame) -> DataFrame:
-    """Columns src_table, row_id, defect. Repeated requests and responses count once."""
+    """Columns src_table, row_id, defect. Repeated requests, responses and results count once."""
     asked = chat_request.groupBy("request_id").agg(F.min("query").alias("question"))
     said = chat_response.select("response_id", "request_id", "response").distinct()
     chat = spread_join(said, asked, ["request_id"], "response_id", "left").select(
@@ -214,4 +214,4 @@ def found(chat_request: DataFrame, chat_response: DataFrame, eval_results: DataF
         F.lit("eval_results").alias("src_table"), F.col("result_id").alias("row_id"), "question", F.col("answer_preview").alias("answer"), (F.length("answer_preview") >= PREVIEW).alias("cut")
     )
     addresses = chat_response.select(F.explode("sources.url").alias("url"))
-    return defects(chat.unionByName(tests), addresses)
+    return defects(chat.unionByName(tests), addresses).distinct()

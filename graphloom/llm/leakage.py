@@ -211,7 +211,8 @@ def leaked(documents: DataFrame, cases: DataFrame) -> DataFrame:
             index = PassageIndex(block)
             for b in batches:
                 found = index.leaks(b["text"].tolist())
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[[i for i, _ in found]], "case_id": [c for _, c in found]})
+                if found:
+                    yield b.iloc[[i for i, _ in found]][["doc_id"]].assign(case_id=[c for _, c in found])
 
         part = texts.mapInPandas(search, "doc_id long, case_id string")
         out = part if out is None else out.unionByName(part)

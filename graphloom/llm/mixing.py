@@ -155,7 +155,7 @@ def mix(documents: DataFrame, mix_target: DataFrame, path: str = f"{TOKENIZERS}/
     a source (or hash bucket of a large one) the sum of what was rounded stays within one; documents of sources without a target are not taken. A source with too few
     tokens for its target is taken as often as allowed and falls short; shares() reports it. An empty corpus gives no row.
     """
-    goals = sorted((r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in mix_target.filter("source IS NOT NULL").limit(10_000).collect())
+    goals = sorted((r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in mix_target.filter("source IS NOT NULL").collect())
     sources, caps = [g[0] for g in goals], np.array([g[2] for g in goals], dtype=float)
     counted = materialize(token_counts(documents, path))
     whole = counted.agg(F.sum("tokens")).collect()[0][0] or 0

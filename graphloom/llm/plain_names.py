@@ -36,6 +36,8 @@ def usual_scripts(names: DataFrame) -> DataFrame:
         for b in batches:
             kinds = [{script_of(ch) for ch in w} - {""} for w in b["word"]]
             keep = [len(k) == 1 for k in kinds]
+            if not any(keep):
+                continue
             yield pd.DataFrame({"skeleton": [skeleton(w) for w, k in zip(b["word"], keep) if k], "script": [next(iter(k)) for k, ok in zip(kinds, keep) if ok], "n": [n for n, k in zip(b["n"], keep) if k]})
 
     counted = words.groupBy("word").agg(F.count("*").alias("n")).mapInPandas(scripts, "skeleton string, script string, n long")
@@ -82,5 +84,5 @@ def plain_names(table: DataFrame, key: str = "rec_id", name: str = "name") -> Da
 
 
 def found(entity: DataFrame) -> DataFrame:
-    """Columns rec_id, plain_name."""
-    return plain_names(entity).select("rec_id", "plain_name")
+    """Columns rec_id, plain_name; a row given twice counts once."""
+    return plain_names(entity).select("rec_id", "plain_name").distinct()

@@ -343,7 +343,8 @@ def sentence_ends(documents: DataFrame, model: Model | None = None) -> DataFrame
     """Columns doc_id, end_char: one row per sentence of each document, whatever its length.
 
     end_char counts the characters through the sentence's last one, closing marks included. Documents that are null,
-    empty or blank give no row. A quotation or bracket never ends within itself.
+    empty or blank give no row; a document given twice has its sentences twice (doc_id is unique in the table). A quotation or
+    bracket never ends within itself.
     """
     model = model or train(sample(documents))
 

@@ -95,7 +95,8 @@ def aliases(campus_list: DataFrame) -> DataFrame:
                 elif plain := letters(alias):
                     telling = " ".join(w for w in plain.split() if w not in FILLERS)
                     rows += [(code, "name", plain, False), (code, "name", bare(plain), True), (code, "name", telling or plain, telling != plain)]
-            yield pd.DataFrame(rows, columns=["code", "kind", "alias", "weak"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["code", "kind", "alias", "weak"])
 
     return each.mapInPandas(forms, "code string, kind string, alias string, weak boolean").distinct()
 
@@ -115,7 +116,8 @@ def map_values(values: DataFrame, campus_list: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(v, i, k, t) for v in b["value"] for i, (k, t) in enumerate(segments(v))]
-            yield pd.DataFrame(rows, columns=["value", "part", "kind", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["value", "part", "kind", "text"])
 
     parts = distinct.mapInPandas(cut, schema)
     names = aliases(campus_list)
