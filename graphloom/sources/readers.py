@@ -41,7 +41,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     text = spark.read.text(path, wholetext=True).withColumn("value", F.regexp_replace("value", r"(?s)^[^{]*?=\s*(?=\{)|;\s*$", ""))
     as_map = F.from_json(F.get_json_object("value", "$.entities"), f"map<string,struct<{ENTITY.replace(' string', ':string').replace(' map', ':map')}>>")
     as_list = F.from_json(F.get_json_object("value", "$.entities"), f"array<struct<{ENTITY.replace(' string', ':string').replace(' map', ':map')}>>")
-    entities = text.select(F.posexplode(F.coalesce(as_list, F.map_values(as_map))).alias("seq", "e")).select("e.*", "seq")
+    entities = text.select(F.posexplode(F.when(F.get_json_object("value", "$.entities").startswith("["), as_list).otherwise(F.map_values(as_map))).alias("seq", "e")).select("e.*", "seq")
     rels = F.from_json(F.get_json_object("value", "$.relationships"), f"array<struct<{RELATIONSHIP.replace(' string', ':string').replace(' map', ':map')}>>")
     edges = text.select(F.posexplode(rels).alias("seq", "r")).select("r.*", "seq").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     return entities, edges
