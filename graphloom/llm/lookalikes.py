@@ -35,9 +35,8 @@ a α а
 c ϲ с
 d ԁ
 e е
-g ɡ
 h һ
-i ι і ı
+i ι і
 j ϳ ј
 l ӏ
 o ο о
@@ -78,6 +77,8 @@ def everyday(ch: str) -> str:
     kind = unicodedata.category(ch)
     if ch in HYPHENS:
         return "-"
+    if ch == "ɡ":
+        return "g"
     if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
         return " "
     if kind in ("Cf", "Cc") or ch in UNSEEN or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF:
@@ -217,7 +218,7 @@ class Rewriter:
             if s := script_of(ch):
                 letters += 1
                 if len(shared.get(ch, {s})) == 1:
-                    votes[s if ch not in _FIRST or s == "L" else "L"] += 1
+                    votes["L" if ord(ch) in _FIRST else s] += 1
         if not letters:
             return ""
         best = max(SCRIPTS, key=lambda s: votes[s])

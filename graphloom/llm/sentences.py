@@ -17,6 +17,8 @@ TRAINING_DOCUMENTS = 3000
 #: Size of the hashed feature space, and of the model that is sent to the executors.
 SPACE = 1 << 16
 ROUNDS, RATE, DECAY = 120, 0.5, 1e-5
+#: A text whose longest line is shorter was not brought to a fixed width: its line breaks were meant.
+NARROW = 40
 #: How often a word must begin a line or follow a certain boundary to be taken as a usual beginning.
 STARTS = 3
 
@@ -48,7 +50,7 @@ _DIGIT = re.compile(r"\d")
 _GLUED = re.compile(r"^[^\s.]*[^\W_]{3,}\.(?=[^\W\d_a-z])")
 
 #: A few sentences of our own, so that a table of very few texts is split sensibly too.
-SEED_TEXT = """The office opens at nine. Dr. Hale met Prof. Stone at 4 p.m. They left soon. Bring the form, i.e. the blue one. It costs Rs. 500. See No. 7 for more. Who asked? Nobody knows! We met Mr. A. Reed of Vale Inc. He agreed.
+SEED_TEXT = """The office opens at nine. Dr. Hale met Prof. Stone at 4 p.m. They left soon. Bring the form, i.e. the blue one. It costs Rs. 500. See No. 7 for more. Who asked? Nobody knows! We met Mr. A. Reed of Vale Inc. He agreed. They left at 5 a.m. The rest stayed. He reads B.Tech. Robotics. She teaches M.A. History. Two seats in B.Des. Music stay open. He lost keys, pens, etc. The desk has them. She works for Tull Ltd. They met at Orr Inc. The firm grew.
 
 Der Kurs beginnt am 3. Mai. Frau Dr. Berg leitet ihn. Das gilt z. B. für alle. Die Liste liegt aus. Wer fragt? Alle fragen!
 
@@ -137,6 +139,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
     if len(lines) == 1:
         return [(0, len(text))]
     width = max((len(line.rstrip()) for _, _, line in lines if " " in line.strip() or ord(line.strip()[:1] or " ") > 0x2E80), default=0)
+    if width < NARROW:
+        return [(a, b) for a, b, _ in lines]
     out, start = [], 0
     for (a, b, line), (_, _, after) in zip(lines, lines[1:]):
         bare = line.rstrip()
