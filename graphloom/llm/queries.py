@@ -69,7 +69,7 @@ fields AS (
   UNION ALL SELECT id, feed, scraped_at, rec_id, 'attributes.' || e.key, e.value FROM (SELECT *, unnest(map_entries(attributes)) AS e FROM given)),
 usable AS (SELECT * FROM (SELECT *, {_BARE} AS bare FROM fields) WHERE NOT regexp_matches(bare, '(\\.\\.\\.|…)$')
   AND CASE WHEN field_name = 'url' THEN regexp_matches(bare, '^(https?|ftp)://[^\\s/?#.]+(\\.[^\\s/?#.]+)+\\.?([/?#]|$)')
-      ELSE regexp_matches(bare, '[\\p{{L}}\\p{{N}}]') AND bare NOT IN ({_NOTHING}) END),
+      ELSE regexp_matches(bare, '[\\p{{L}}\\p{{N}}]') AND bare NOT IN ({_NOTHING}) AND NOT regexp_matches(bare, '{survivorship.NOWHERE}') END),
 sizes AS (SELECT id, count(*) AS "rows" FROM given GROUP BY id),
 best AS (SELECT id, field_name, rec_id, v, "rows" FROM (
   SELECT u.*, s."rows", row_number() OVER (PARTITION BY u.id, field_name ORDER BY trust DESC NULLS LAST, scraped_at DESC NULLS LAST, rec_id) AS k

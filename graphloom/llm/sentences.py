@@ -46,6 +46,7 @@ _THAI = re.compile(r"[฀-๿]")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿0-9])[ \n ]+(?=[฀-๿A-Z\d])|(?<=[A-Za-z0-9)])[ \n ]+(?=[฀-๿])")
 _DEGREE = re.compile(r"(b|m|ph)\.?(a|sc|des|tech|d|com|phil)$")
 _DIGIT = re.compile(r"\d")
+_AFTER_NUMBER = re.compile(r"[\d.,:]+\s*([^\W\d_])")
 #: The end of a sentence that the next one follows without a blank.
 _GLUED = re.compile(r"^[^\s.]*[^\W_]{3,}\.(?=[^\W\d_a-z])")
 
@@ -121,7 +122,7 @@ def features(p: Place, with_after: bool = True) -> list[int]:
     if with_before:
         out += [f"b={b}", f"bs={bs}", f"bl={short}", f"b2={b2}", f"b2s={shape(p.before2)}", f"m,bs={p.mark},{bs}", f"m,bl={p.mark},{bs},{short}", f"dot={'.' in p.before}", f"b2dot={p.before2.endswith('.')},{bs}"]
     if with_after:
-        out += [f"a={a}", f"as={as_}", f"m,as={p.mark},{as_}", f"gap={p.gap}", f"gap,as={p.gap},{as_}", f"cl={p.closed},{as_}", f"cl,a={p.closed},{a[:1]}"]
+        out += [f"a={a}", f"as={as_}", f"m,as={p.mark},{as_}", f"gap={p.gap}", f"gap,as={p.gap},{as_}", f"cl={p.closed},{as_}", f"cl,a={p.closed},{a[:1]}", f"a2={p.after2},{as_}"]
     if with_after and with_before:
         out += [f"bs,as={bs},{as_},{p.mark}", f"b2,as={b2},{bs},{as_}", f"int={bs == 'int' and len(b) <= 2},{a}"]
     return [hashed(x) for x in out]
@@ -202,7 +203,9 @@ def places(s: str) -> Iterator[tuple[int, Place | None]]:
             after = glued[0][:-1]
         if ord(before[-1:] or " ") > 0x2E80:
             before, before2 = before[-2:], ""
-        yield stop, Place(cut(before2), cut(before), mark, stop > m.end(1), gap, _DIGIT.sub("0", after.rstrip(".,;:!?”\")")[:24]), "")
+        # A number belongs to what follows it; its script tells whether that is another language.
+        after2 = shape(m2[1]) if after[:1].isdigit() and (m2 := _AFTER_NUMBER.match(rest)) else ""
+        yield stop, Place(cut(before2), cut(before), mark, stop > m.end(1), gap, _DIGIT.sub("0", after.rstrip(".,;:!?”\")")[:24]), after2)
     if _THAI.search(s):
         for m in _THAI_SPACE.finditer(s):
             if any(a < m.start() < b for a, b in spans) or s[m.start() - 1] in MARKS:
@@ -234,13 +237,15 @@ def label(p: Place, starts: set[str]) -> int | None:
     if bs == "dev":
         return 0
     if bare in EITHER:
-        return 1 if after in starts and as_ == "Cap" else None
+        dated = as_ in ("int", "num") and not p.after2 and bare not in ("a.m", "p.m", "etc", "al")
+        return 1 if after in starts and as_ == "Cap" else 0 if dated else None
     if bare in ABBREVIATIONS or _DEGREE.match(bare) or (len(bare) == 1 and bare.isalpha() and p.before2.lower().rstrip(".") in ABBREVIATIONS):
         return 0 if as_ in ("Cap", "Caps", "C", "int", "num", "dev", "tam", "tha", "none") and p.gap != "end" else None
     if p.gap == "end":
         return 1
     if as_ in ("int", "num"):
-        return None
+        other = p.after2 in ("dev", "tam", "tha", "cjk") and p.after2 != bs
+        return 1 if other and len(bare) >= 3 and bs in ("low", "Cap", "Caps", "tam", "num", "int") else None
     if bs == "int" and len(bare) <= 2 and (after.lower() in MONTHS or p.before2.lower() in ARTICLES and as_ == "Cap"):
         return 0
     if bs == "tam" and len(bare) > 3 and as_ in ("tam", "Cap", "open"):
@@ -321,7 +326,7 @@ def train(texts: list[str]) -> Model:
         if y is not None:
             # At a unit's end nothing follows, so only what precedes is learnt from it.
             f = features(p, with_after=p.gap != "end")
-            rows.append(f + [SPACE] * (20 - len(f)))
+            rows.append(f + [SPACE] * (24 - len(f)))
             target.append(y)
             weight.append(min(n, 50) ** 0.5)
     x, y, c = np.array(rows), np.array(target, dtype=float), np.array(weight)

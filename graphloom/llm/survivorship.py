@@ -12,14 +12,16 @@ NOTHING = (
     "tba", "tbd", "tbc", "t.b.d.", "t.b.a.", "to be announced", "to be decided", "to be confirmed", "to be determined", "to be updated",
     "will be updated soon", "will be updated", "coming soon", "under construction", "pending", "x", "xx", "xxx", "xxxx",
 )
+#: Addresses that lead nowhere.
+NOWHERE = r"^(https?:/*|#.*|javascript:.*|about:blank)$"
 #: Blanks and characters that print nothing.
 BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
 
 
 def usable_text(value: Column) -> Column:
-    """Whether a value tells something: present, no placeholder, at least one letter or digit, and not cut off."""
+    """Whether a value tells something: present, no placeholder, a letter or digit, no address of nothing, and not cut off."""
     bare = F.lower(F.regexp_replace(value, rf"^{BLANKS}|{BLANKS}$", ""))
-    return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(*NOTHING) & ~bare.rlike(r"(\.\.\.|…)$"), F.lit(False))
+    return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(*NOTHING) & ~bare.rlike(NOWHERE) & ~bare.rlike(r"(\.\.\.|…)$"), F.lit(False))
 
 
 def usable_url(value: Column) -> Column:
