@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, hierarchy
+from graphloom.functions import pages as page_rules
+from graphloom.operators import build, graph, hierarchy
 from graphloom.plans.pipeline_queries import _LINKS
 from graphloom.sources.tables import table
 
@@ -160,11 +161,32 @@ def kg_lineage(spark: SparkSession, folder: str) -> DataFrame:
     return each.filter("ancestor <> id").select("id", "ancestor", "level")
 
 
+def page_dispatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities by the addresses of the entity table's pages."""
+    pages = table(spark, folder, "entity").filter("url IS NOT NULL").select("url", F.col("name").alias("title"), F.col("rec_id").alias("seq"))
+    return build.dispatch(pages).select("id", "entity_type", "url", "seq")
+
+
+def kg_build(spark: SparkSession, folder: str) -> DataFrame:
+    """A graph built anew from the entities' pages, with the addresses of the hierarchy's children as links."""
+    e, r = _graph(spark, folder)
+    kids = graph.children(r.filter("relation_type LIKE 'has_%' OR relation_type = 'offers_program'"), e).select("parent_id", "id").join(e.select("id", "url"), "id")
+    links = kids.groupBy(F.col("parent_id").alias("id")).agg(F.collect_set("url").alias("links"))
+    pages = e.filter("url LIKE 'http%'").join(links, "id", "left").select("url", F.col("name").alias("title"), F.lit("").alias("text"), "links", "seq")
+    return build.build_graph(pages)[1].select("source_id", "relation_type", "target_id")
+
+
+def add_programs(spark: SparkSession, folder: str) -> DataFrame:
+    """The official list brought into the graph: matched programs updated, others added."""
+    listing = table(spark, folder, "program_listing").select(F.col("listing_id").alias("row_id"), "title", "url", "duration", F.col("annual_fees").alias("fees"), "intake")
+    return build.add_programs(_graph(spark, folder)[0], listing).filter("entity_type = 'program'").select("id", "name", F.to_json("attributes").alias("attributes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         kg_entities, kg_edges, kg_stats, kg_stats_cube, duplicate_names, multi_parent, suspicious_ids, edge_validation, kg_children, kg_parent, kg_listing, kg_roles, kg_search, kg_by_name, shared_children,
-        orphans, single_parent, dedup_edges, override_parents, merge_entities, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage,
+        orphans, single_parent, dedup_edges, override_parents, merge_entities, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage, page_dispatch, kg_build, add_programs,
     )
 }
 
@@ -174,7 +196,14 @@ _NP = ", ".join(f"'{x}'" for x in graph.NO_PARENT)
 _DIR = "dirs AS (SELECT name, min(id) AS new_id FROM e WHERE entity_type = 'directorate' GROUP BY name), merges AS (SELECT id AS old_id, new_id FROM e JOIN dirs USING (name) WHERE entity_type = 'directorate' AND id <> new_id)"
 _RULES = "CASE WHEN regexp_matches(lower(name), 'chemi') THEN 'topic--chemistry' WHEN regexp_matches(lower(name), 'engineer|tech') THEN 'topic--engineering' WHEN regexp_matches(lower(name), 'design|art') THEN 'topic--arts' END"
 
+_PARTS = "list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^\\w+://[^/]*', ''), '/'), lambda p: p <> '')"
+_KIND = "CASE " + " ".join(f"WHEN contains(lower(url), '{p}') THEN '{k}'" for p, k in page_rules.KINDS) + " ELSE 'general' END"
+
 ORACLES = {
+    "page_dispatch": f"""WITH d AS (SELECT *, {_KIND} AS k, {_PARTS} AS parts FROM entity WHERE url IS NOT NULL),
+      x AS (SELECT k || '--' || regexp_replace(trim(regexp_replace(lower(parts[-1]), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g') AS id, k AS entity_type, url, rec_id AS seq FROM d
+        WHERE k IN ({", ".join(f"'{t}'" for t in build.ENTITY_KINDS)}) AND len(parts) = 2 AND NOT regexp_matches(url, '{"|".join(page_rules.NOISE)}', 'i'))
+      SELECT id, entity_type, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM x) WHERE n = 1""",
     "kg_entities": f"{_G} SELECT id, name, entity_type, campus, url, seq FROM e",
     "kg_edges": f"{_G} SELECT * FROM r",
     "kg_stats": f"{_G} SELECT 'entity' AS what, coalesce(entity_type, '(all)') AS kind, count(*) AS n FROM e GROUP BY ROLLUP (entity_type) UNION ALL SELECT 'relation', coalesce(relation_type, '(all)'), count(*) FROM r GROUP BY ROLLUP (relation_type)",
