@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,8 @@ january february march may june july october december""".split())
 #: Words between which and a capital a number with a full stop is an ordinal.
 ARTICLES = frozenset("der die das dem den des am zum zur im vom beim jede jeder jedes".split())
 MARKS, CLOSERS = ".!?…।॥。！？", "\"”»“」』)]）】"
-_CANDIDATE = re.compile(rf"([{MARKS}]+)([{re.escape(CLOSERS)}]*)")
+#: A mark or several, closing marks; a point or question mark directly before a small letter or digit is none.
+_CANDIDATE = re.compile(rf"([{MARKS}]++(?![a-z0-9,;:/@-])|[।॥。！？]+)([{re.escape(CLOSERS)}]*)")
 _SPAN = re.compile(r"\([^()\n]*(?:\n[^()\n]+)*\)|（[^（）]*）|“[^“”„]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|\[[^\[\]]*\]")
 _LIST = re.compile(r"[ \t ]*(?:[-*•‣–·◦]|\(?\d{1,3}[.)]|\(?[a-z]\))[ \t ]+")
 _THAI = re.compile(r"[฀-๿]")
@@ -89,18 +92,19 @@ def shape(token: str) -> str:
     return "open" if ch in "“„«\"「『(（[¿¡‘" else "mark"
 
 
-class Place:
+class Place(NamedTuple):
     """A candidate boundary: what stands before and after it."""
 
-    __slots__ = ("before2", "before", "mark", "closed", "gap", "after", "after2")
-
-    def __init__(self, before2: str, before: str, mark: str, closed: bool, gap: str, after: str, after2: str) -> None:
-        self.before2, self.before, self.mark, self.closed, self.gap, self.after, self.after2 = before2, before, mark, closed, gap, after, after2
-
-    def key(self) -> tuple:
-        return (self.before2, self.before, self.mark, self.closed, self.gap, self.after, self.after2)
+    before2: str
+    before: str
+    mark: str
+    closed: bool
+    gap: str
+    after: str
+    after2: str
 
 
+@lru_cache(maxsize=1 << 18)
 def hashed(text: str) -> int:
     """A hash that is the same in every process."""
     h = 2166136261
@@ -155,66 +159,76 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 def _word_before(s: str, end: int) -> tuple[str, int]:
-    """The word that ends at `end`, blanks skipped, and where it starts."""
+    """The word that ends at `end`, blanks skipped, and where it starts. Breaks are blanks in s."""
     while end and s[end - 1].isspace():
         end -= 1
     low = max(0, end - 40)
-    start = max(s.rfind(" ", low, end), s.rfind("\n", low, end), s.rfind(" ", low, end), low - 1) + 1
+    start = max(s.rfind(" ", low, end), low - 1) + 1
     return s[start:end], start
 
 
-def places(s: str) -> Iterator[tuple[int, Place | None]]:
-    """(end, Place) of each candidate boundary in a block; ends are offsets in the block."""
+def _cut(word: str) -> str:
+    """At most the last 24 characters of a word, with every digit as 0."""
+    return word[-24:] if word.isalpha() else _DIGIT.sub("0", word[-24:])
+
+
+def places(s: str, inner: bool = False) -> Iterator[tuple[int, tuple]]:
+    """(end, fields of a Place) of each candidate boundary in a block; ends are offsets in it. inner: without the block's end."""
     spans = [m.span() for m in _SPAN.finditer(s)]
-    k, n = 0, len(s)
+    k, n, some = 0, len(s), len(spans)
     lead = m.end() if (m := _LIST.match(s)) else 0
-    for m in _CANDIDATE.finditer(s):
-        i, stop = m.start(), m.end()
-        if i < lead:
-            continue
-        while k < len(spans) and spans[k][1] <= i:
+    flat = s.replace("\n", " ").replace("\xa0", " ")
+    for m in _CANDIDATE.finditer(s, lead):
+        i, stop = m.span()
+        while k < some and spans[k][1] <= i:
             k += 1
-        if k < len(spans) and spans[k][0] < i and stop < spans[k][1]:
+        within = k < some and spans[k][0] < i
+        if within and stop < spans[k][1]:
             continue  # within a quotation or brackets
-        if m[2] and not (k < len(spans) and spans[k][0] < i and stop >= spans[k][1]):
+        if m[2] and not within:
             # What looks like a closing mark opens the next quotation.
             stop = m.end(1)
-        nxt = s[stop] if stop < n else ""
-        mark = m[1][-1] if m[1] != "..." else "…"
-        if mark in ".…" and nxt and not nxt.isspace() and not (nxt.isupper() or ord(nxt) > 0x900 and nxt.isalpha() or nxt in "“„«"):
-            continue
-        if mark in "!?" and nxt and not nxt.isspace() and not (nxt.isupper() or ord(nxt) > 0x900 or nxt in "“„«¿¡"):
+        window = flat[stop : stop + 60]
+        rest = window.lstrip()
+        if inner and not rest:
             continue
-        rest = s[stop : stop + 60].lstrip()
-        before, start = _word_before(s, i)
-        before = _GLUED.sub("", before.lstrip("(“„«\"「[‘¿¡"))
-        if mark == "." and not (nxt.isspace() or not nxt) and not (len(before) > 2 and before[-1].islower() or before[-1:].isdigit() or before[-1:] in ")”"):
-            continue  # within an abbreviation
-        if mark == "." and not (nxt.isspace() or not nxt) and ("/" in before or "@" in before or "www." in before):
-            continue
-        before2, _ = _word_before(s, start)
-        words = rest.split(None, 2)
-        after = words[0] if words else ""
-        gap = "end" if not rest else "none" if not nxt.isspace() else "line" if "\n" in s[stop : n - len(s[stop:].lstrip())] else "blank"
-        cut = lambda w: _DIGIT.sub("0", w[-24:])
+        nxt = window[:1]
+        mark = m[1][-1] if m[1] != "..." else "…"
+        glued = bool(rest) and len(rest) == len(window)
+        if glued and not nxt.isupper():
+            if mark in ".…" and not (ord(nxt) > 0x900 and nxt.isalpha() or nxt in "“„«"):
+                continue
+            if mark in "!?" and not (ord(nxt) > 0x900 or nxt in "“„«¿¡"):
+                continue
+        before, start = _word_before(flat, i)
+        before = before.lstrip("(“„«\"「[‘¿¡")
+        if "." in before:
+            before = _GLUED.sub("", before)
+        if glued and mark == ".":
+            if not (len(before) > 2 and before[-1].islower() or before[-1:].isdigit() or before[-1:] in ")”") or "/" in before or "@" in before or "www." in before:
+                continue  # within an abbreviation or address
+        before2, _ = _word_before(flat, start)
+        after = rest.split(None, 1)[0] if rest else ""
+        blanks = len(window) - len(rest)
+        gap = "end" if not rest else "none" if glued else "line" if "\n" in s[stop : stop + blanks] else "blank"
         if ord(after[:1] or " ") > 0x2E80:
             after = after[:2]
-        elif "." in after and (glued := _GLUED.match(after)):
-            after = glued[0][:-1]
+        elif "." in after and (run_on := _GLUED.match(after)):
+            after = run_on[0][:-1]
         if ord(before[-1:] or " ") > 0x2E80:
             before, before2 = before[-2:], ""
         # A number belongs to what follows it; its script tells whether that is another language.
         after2 = shape(m2[1]) if after[:1].isdigit() and (m2 := _AFTER_NUMBER.match(rest)) else ""
-        yield stop, Place(cut(before2), cut(before), mark, stop > m.end(1), gap, _DIGIT.sub("0", after.rstrip(".,;:!?”\")")[:24]), after2)
+        yield stop, (_cut(before2), _cut(before), mark, stop > m.end(1), gap, _cut(after.rstrip(".,;:!?”\")")[:24]), after2)
     if _THAI.search(s):
         for m in _THAI_SPACE.finditer(s):
             if any(a < m.start() < b for a, b in spans) or s[m.start() - 1] in MARKS:
                 continue
-            before, start = _word_before(s, m.start())
-            before2, _ = _word_before(s, start)
+            before, start = _word_before(flat, m.start())
+            before2, _ = _word_before(flat, start)
             rest = s[m.end() : m.end() + 40]
             after = rest.split(None, 1)[0]
-            yield m.start(), Place(_DIGIT.sub("0", before2[-6:]), _DIGIT.sub("0", before[-6:]), " ", False, "space", _DIGIT.sub("0", after[:6]), "")
+            yield m.start(), (_DIGIT.sub("0", before2[-6:]), _DIGIT.sub("0", before[-6:]), " ", False, "space", _DIGIT.sub("0", after[:6]), "")
 
 
 def label(p: Place, starts: set[str]) -> int | None:
@@ -270,12 +284,11 @@ class Model:
     def __setstate__(self, weights: np.ndarray) -> None:
         self.weights, self.known = weights, {}
 
-    def boundary(self, p: Place) -> bool:
-        key = p.key()
-        if (old := self.known.get(key)) is None:
+    def boundary(self, fields: tuple) -> bool:
+        if (old := self.known.get(fields)) is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            old = self.known[key] = bool(self.weights[features(p)].sum() > 0)
+            old = self.known[fields] = bool(self.weights[features(Place(*fields))].sum() > 0)
         return old
 
     def ends(self, text: str) -> list[int]:
@@ -286,7 +299,10 @@ class Model:
             last = len(s.rstrip())
             if not last:
                 continue
-            inner = sorted(end for end, p in places(s) if p.gap != "end" and self.boundary(p))
+            inner = sorted(end for end, p in places(s, inner=True) if self.boundary(p))
+            if not inner:
+                out.append(a + last)
+                continue
             begin = 0
             for end in inner:
                 # A sentence says something; marks alone stay with what precedes.
@@ -312,8 +328,8 @@ def train(texts: list[str]) -> Model:
                 starts[first.rstrip(".,;:!?”\")")[:24]] += 1
             if first and _THAI.match(first):
                 starts[_DIGIT.sub("0", first[:6])] += 1
-            for _, p in places(s):
-                seen[p.key()] += 1
+            for _, fields in places(s):
+                seen[fields] += 1
     for key, n in seen.items():
         p = Place(*key)
         if p.mark == "." and shape(p.before) == "low" and len(p.before) >= 4 and shape(p.after) == "Cap" and p.before.lower() not in ABBREVIATIONS:

@@ -300,7 +300,8 @@ def test_held_out_boundaries_of_the_corpus(spark):
     right = wrong = 0
     for t in texts[60:]:
         for a, b in sentences.blocks(t):
-            for _, p in sentences.places(t[a:b]):
+            for _, fields in sentences.places(t[a:b]):
+                p = sentences.Place(*fields)
                 y = sentences.label(p, set()) if p.gap != "end" else None
                 if y is not None:
                     right, wrong = right + (m.boundary(p) == bool(y)), wrong + (m.boundary(p) != bool(y))
