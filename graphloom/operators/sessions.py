@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,21 +55,22 @@ def cache_hits(requests: DataFrame, ttl: int = 3600) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at", "request_id")
     gap = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(w))
     marked = requests.select("request_id", "key", "at", F.coalesce((gap > ttl).cast("int"), F.lit(0)).alias("cut")).withColumn("stretch", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # A row alone in its stretch needs no walk.
-    alone = marked.withColumn("size", F.count("*").over(Window.partitionBy("key", "stretch")))
-
-    def walk(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["at", "request_id"])
-        stored, hits = None, []
-        for at in b["at"].astype("int64") if b["at"].dtype.kind == "i" else b["at"]:
-            hit = stored is not None and at - stored <= ttl
-            stored = stored if hit else at
-            hits.append(hit)
-        return pd.DataFrame({"request_id": b["request_id"], "key": b["key"], "hit": hits})
-
-    seconds = alone.withColumn("at", F.unix_timestamp("at"))
-    walked = seconds.filter("size > 1").groupBy("key", "stretch").applyInPandas(walk, f"request_id {dict(requests.dtypes)['request_id']}, key string, hit boolean")
-    return seconds.filter("size = 1").select("request_id", "key", F.lit(False).alias("hit")).unionByName(walked)
+    # Stretches of one key may lie in different tasks. A task walks through its sorted rows and keeps one time only.
+    ordered = marked.select("request_id", "key", "stretch", F.unix_timestamp("at").alias("at")).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "request_id")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, stored = None, None
+        for b in batches:
+            hits = []
+            for key, stretch, at in zip(b["key"], b["stretch"], b["at"]):
+                if (key, stretch) != group:
+                    group, stored = (key, stretch), None
+                hit = stored is not None and at - stored <= ttl
+                stored = stored if hit else at
+                hits.append(hit)
+            yield pd.DataFrame({"request_id": b["request_id"], "key": b["key"], "hit": hits})
+
+    return ordered.mapInPandas(walk, f"request_id {dict(requests.dtypes)['request_id']}, key string, hit boolean")
 
 
 def cache_stats(hits: DataFrame) -> DataFrame:
