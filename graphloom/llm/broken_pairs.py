@@ -69,10 +69,15 @@ def common_length(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=8)
+def _longest_first(openings: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return sorted((tuple(o.split()) for o in openings), key=len, reverse=True)
+
+
 def without(openings: tuple[str, ...], words: tuple[str, ...]) -> tuple[str, ...]:
     """words without one of the openings at their start."""
-    for lead in sorted(map(str.split, openings), key=len, reverse=True):
-        if words[: len(lead)] == tuple(lead):
+    for lead in _longest_first(openings):
+        if words[: len(lead)] == lead:
             return words[len(lead) :]
     return words
 
@@ -96,15 +101,26 @@ def is_copy(question: str, answer: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _templates() -> tuple[tuple[tuple[str, ...], bool], ...]:
-    return tuple((tuple(w for w in tokens(t) if w != "*"), "*" in t) for t in REFUSALS)
+def _templates() -> tuple[tuple[tuple[str, ...], frozenset[str], float, bool], ...]:
+    """Words of each template, their set, and how many words an answer may have to be like it."""
+    every = [(tuple(w for w in tokens(t) if w != "*"), "*" in t) for t in REFUSALS]
+    return tuple((w, frozenset(w), len(w) * 1.4 + (12 if gap else 2), gap) for w, gap in every)
+
+
+@lru_cache(maxsize=1)
+def _longest_refusal() -> float:
+    return max(most for _, _, most, _ in _templates())
 
 
 def is_refusal(answer: str) -> bool:
     """Whether the answer, apart from politeness, aligns with a refusal: nearly all its words, in order, and little else."""
     a = without(POLITE, tokens(answer))
-    for words, gap in _templates():
-        if len(a) <= len(words) * 1.4 + (12 if gap else 2) and set(a) & set(words):
+    if len(a) > _longest_refusal():
+        return False
+    have = set(a)
+    for words, distinct, most, gap in _templates():
+        # A common subsequence has no more distinct words than both have in common.
+        if len(a) <= most and len(have & distinct) >= ALIGNED * len(distinct) - (len(words) - len(distinct)):
             n = common_length(a, words)
             if n >= ALIGNED * len(words) and (gap or n >= ALIGNED * len(a)):
                 return True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 #: Frequent words of the Latin-script languages told apart.
 COMMON = {
@@ -20,18 +21,24 @@ _SCRIPTS = tuple((lang, re.compile(pattern)) for lang, pattern in SCRIPTS)
 _LATIN = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=50_000)
 def language(text: str) -> tuple[str, float]:
     """(language, margin): empty if nothing tells; the margin is the lead in matching words over the runner-up."""
-    letters = len(re.findall(r"[^\W\d_]", text))
-    if not letters:
+    low = text.lower()
+    if not text.isascii():
+        marks = {lang: len(pattern.findall(text)) for lang, pattern in _SCRIPTS if pattern.search(text)}
+        if marks:
+            if "ja" in marks:
+                marks["ja"] += marks.get("zh", 0)
+            lang = max(marks, key=marks.get)
+            if marks[lang] > 0.4 * len(re.findall(r"[^\W\d_]", text)):
+                return lang, float(marks[lang])
+    seen = Counter(_LATIN.findall(low))
+    if not seen:
         return "", 0.0
-    marks = {lang: len(pattern.findall(text)) for lang, pattern in _SCRIPTS}
-    if marks["ja"]:
-        marks["ja"] += marks["zh"]
-    lang = max(marks, key=marks.get)
-    if marks[lang] > 0.4 * letters:
-        return lang, float(marks[lang])
-    seen = Counter(w for w in _LATIN.findall(text.lower()))
-    score = {lang: sum(n for w, n in seen.items() if w in words) + 0.7 * sum(text.lower().count(ch) for ch in LETTERS.get(lang, "")) for lang, words in WORDS.items()}
+    score = {lang: float(sum([n for w, n in seen.items() if w in words])) for lang, words in WORDS.items()}
+    if not text.isascii():
+        for lang, letters in LETTERS.items():
+            score[lang] += 0.7 * sum(map(low.count, letters))
     first, second = sorted(score, key=score.get, reverse=True)[:2]
     return (first, score[first] - score[second]) if score[first] > score[second] else ("", 0.0)
