@@ -155,7 +155,9 @@ def _indexed(frame: DataFrame, key: str) -> DataFrame:
             inst = [institution_of(n, u) for n, u in zip(b["name"], b["url"])]
             yield pd.DataFrame({key: b[key], "institution": inst, "campus": b["campus"], "title": b["title"], "terms": [index_terms(i, c, t) for i, c, t in zip(inst, b["campus"], b["title"])]})
 
-    return frame.mapInPandas(terms, f"{key} {dict(frame.dtypes)[key]}, institution string, campus string, title string, terms array<string>")
+    indexed = frame.mapInPandas(terms, f"{key} {dict(frame.dtypes)[key]}, institution string, campus string, title string, terms array<string>")
+    # Terms travel as 64-bit hashes from here on.
+    return indexed.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
 
 
 def listing_records(listing: DataFrame, campuses: DataFrame) -> DataFrame:
