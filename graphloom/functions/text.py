@@ -87,7 +87,8 @@ def sections(text: Column, headings: Sequence[tuple[str, Sequence[str]]]) -> Col
 
     Of a field's spellings the first that occurs counts. Texts without a heading give an empty array.
     """
-    lowered = F.lower(text)
+    # Of all letters only this one grows in lower case, which would move every place after it.
+    lowered = F.lower(F.translate(text, "İ", "I"))
     found = [
         F.struct(F.coalesce(*[F.when(F.instr(lowered, h.lower()) > 0, F.instr(lowered, h.lower())) for h in names]).alias("at"),
                  F.coalesce(*[F.when(F.instr(lowered, h.lower()) > 0, F.lit(len(h))) for h in names]).alias("size"), F.lit(field).alias("field"))

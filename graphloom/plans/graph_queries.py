@@ -36,6 +36,11 @@ def duplicate_names(spark: SparkSession, folder: str) -> DataFrame:
     return graph.duplicate_names(_graph(spark, folder)[0].filter("name rlike '^[ -~]+$'"))
 
 
+def duplicate_names_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Names in every script; the SQL of duplicate_names has printable ASCII only."""
+    return graph.duplicate_names(_graph(spark, folder)[0])
+
+
 def multi_parent(spark: SparkSession, folder: str) -> DataFrame:
     return graph.several_parents(_graph(spark, folder)[1], ("admission_governs", "also_listed_under", "admission_covers"))
 
@@ -75,6 +80,11 @@ def kg_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return graph.by_name(_graph(spark, folder)[0].filter("name rlike '^[ -~]+$'"))
 
 
+def kg_by_name_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Names in every script; the SQL of kg_by_name has printable ASCII only."""
+    return graph.by_name(_graph(spark, folder)[0])
+
+
 def shared_children(spark: SparkSession, folder: str) -> DataFrame:
     return graph.shared_children(_graph(spark, folder)[1])
 
@@ -84,8 +94,17 @@ def orphans(spark: SparkSession, folder: str) -> DataFrame:
     return graph.orphans(e, r, "program", ("offers_program",)).select("id", "name")
 
 
+#: Kinds of relations of which a node keeps one edge.
+_PARENT_CLASSES = (("has_department", "has_sub_college", "has_centre"), ("offers_program",), ("admission_governs",))
+
+
 def single_parent(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.single_parent(_graph(spark, folder)[1].filter("relation_type <> 'offers_program' OR seq % 2 = 0"), (("has_department", "has_sub_college", "has_centre"), ("offers_program",), ("admission_governs",)))
+    return graph.single_parent(_graph(spark, folder)[1].filter("relation_type <> 'offers_program' OR seq % 2 = 0"), _PARENT_CLASSES)
+
+
+def single_parent_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Over every edge; the SQL of single_parent leaves out each offers_program edge of odd number."""
+    return graph.single_parent(_graph(spark, folder)[1], _PARENT_CLASSES)
 
 
 def dedup_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,8 +204,8 @@ def add_programs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_entities, kg_edges, kg_stats, kg_stats_cube, duplicate_names, multi_parent, suspicious_ids, edge_validation, kg_children, kg_parent, kg_listing, kg_roles, kg_search, kg_by_name, shared_children,
-        orphans, single_parent, dedup_edges, override_parents, merge_entities, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage, page_dispatch, kg_build, add_programs,
+        kg_entities, kg_edges, kg_stats, kg_stats_cube, duplicate_names, duplicate_names_all, multi_parent, suspicious_ids, edge_validation, kg_children, kg_parent, kg_listing, kg_roles, kg_search, kg_by_name, kg_by_name_all, shared_children,
+        orphans, single_parent, single_parent_all, dedup_edges, override_parents, merge_entities, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage, page_dispatch, kg_build, add_programs,
     )
 }
 

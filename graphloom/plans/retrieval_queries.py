@@ -101,7 +101,7 @@ def combine_chunk_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_compress(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).filter("text IS NOT NULL AND lang = 'en'").withColumn("question", F.lit(QUESTIONS[0][1]))
+    docs = documents(spark, folder).filter("text IS NOT NULL").withColumn("question", F.lit(QUESTIONS[0][1]))
     return retrieval.compress(docs, document="text").select("doc_id", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 

@@ -43,25 +43,45 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     return children.select("chunk_id", "url", "chunk_type", "chunk_level", "chunk_ix", "parent_id")
 
 
-def name_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles of the official list against programs' names: pairs of distinct word sets that share enough."""
+#: Rows that DuckDB and Spark read alike: queries with SQL keep to them, and the query NAME_all has every row.
+ASCII = "^[ -~]+$"
+
+
+def _name_overlap(spark: SparkSession, folder: str, rows: str) -> DataFrame:
     words = lambda df, name, key: df.select(text.word_set(F.col(name)).alias("words")).filter("size(words) > 0").select(F.array_join("words", " ").alias(key), "words").distinct()
-    listing = table(spark, folder, "program_listing").filter("title rlike '^[ -~]+$'")
-    programs = table(spark, folder, "entity").filter("entity_type = 'program' AND name rlike '^[ -~]+$'")
+    listing = table(spark, folder, "program_listing").filter(F.col("title").rlike(rows))
+    programs = table(spark, folder, "entity").filter((F.col("entity_type") == "program") & F.col("name").rlike(rows))
     return matching.overlaps(words(listing, "title", "lkey"), words(programs, "name", "rkey"), 0.8, symmetric=True)
 
 
+def name_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of the official list against programs' names: pairs of distinct word sets that share enough."""
+    return _name_overlap(spark, folder, ASCII)
+
+
+def name_token_overlap_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _name_overlap(spark, folder, "")
+
+
 def fuzzy_best_match(spark: SparkSession, folder: str) -> DataFrame:
     listing = table(spark, folder, "program_listing").filter("title IS NOT NULL").select(F.col("listing_id").alias("row_id"), F.col("title").alias("text"))
     programs = graph.entities_of(table(spark, folder, "entity")).filter("entity_type = 'program' AND name IS NOT NULL").select(F.col("id").alias("name_id"), F.col("name").alias("text"))
     return matching.best_names(listing, programs)
 
 
+def _longest_name(spark: SparkSession, folder: str, rows: str) -> DataFrame:
+    asked = table(spark, folder, "chat_request").filter(F.col("query").rlike(rows)).select(F.col("request_id").alias("text_id"), text.match_text(F.col("query")).alias("text")).distinct()
+    units = graph.entities_of(table(spark, folder, "entity")).filter(F.col("name").rlike(rows))
+    return matching.names_in_texts(asked, matching.normalized_names(units, ("department", "school", "college", "centre")))
+
+
 def longest_name_in_text(spark: SparkSession, folder: str) -> DataFrame:
     """The longest name of a unit inside each question."""
-    asked = table(spark, folder, "chat_request").filter("query rlike '^[ -~]+$'").select(F.col("request_id").alias("text_id"), text.match_text(F.col("query")).alias("text")).distinct()
-    units = graph.entities_of(table(spark, folder, "entity")).filter("name rlike '^[ -~]+$'")
-    return matching.names_in_texts(asked, matching.normalized_names(units, ("department", "school", "college", "centre")))
+    return _longest_name(spark, folder, ASCII)
+
+
+def longest_name_in_text_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _longest_name(spark, folder, "")
 
 
 def _catalogues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -142,18 +162,34 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.summary(eval_metrics(spark, folder))
 
 
-def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
+def _intents(spark: SparkSession, folder: str, rows: str) -> DataFrame:
     q = F.col("query")
     flags = [c.alias(n) for n, c in routing.intent_flags(q).items()]
-    ascii_only = table(spark, folder, "chat_request").filter("query rlike '^[ -~]+$'").select("request_id", "query").distinct()
-    return ascii_only.select("request_id", routing.query_type(q).alias("query_type"), *flags, routing.intent_label(q).alias("label"))
+    asked = table(spark, folder, "chat_request").filter(q.rlike(rows)).select("request_id", "query").distinct()
+    return asked.select("request_id", routing.query_type(q).alias("query_type"), *flags, routing.intent_label(q).alias("label"))
+
+
+def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
+    return _intents(spark, folder, ASCII)
+
+
+def intent_classify_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _intents(spark, folder, "")
+
+
+def _domains(spark: SparkSession, folder: str, rows: str) -> DataFrame:
+    q, no = F.col("query"), F.lit(False)
+    asked = table(spark, folder, "chat_request").filter(q.rlike(rows)).select("request_id", "query").distinct().withColumn("task", routing.task(q, no))
+    return asked.select("request_id", "task", routing.best_domain(routing.domain_scores(q, F.col("task"), no, no, no)).alias("domain"))
 
 
 def route_domain_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Task and domain by the words alone."""
-    q, no = F.col("query"), F.lit(False)
-    rows = table(spark, folder, "chat_request").filter("query rlike '^[ -~]+$'").select("request_id", "query").distinct().withColumn("task", routing.task(q, no))
-    return rows.select("request_id", "task", routing.best_domain(routing.domain_scores(q, F.col("task"), no, no, no)).alias("domain"))
+    return _domains(spark, folder, ASCII)
+
+
+def route_domain_scores_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _domains(spark, folder, "")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,8 +241,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 def page_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Documents cut at the words that often begin their parts."""
     headings = (("first", ("In addition",)), ("clause", ("Under clause",)), ("notice", ("As stated in circular",)))
-    docs = _docs(spark, folder).filter("text rlike '^[ -~\\n]*$'")
-    found = docs.select("doc_id", F.explode(text.sections(F.col("text"), headings)).alias("s"))
+    found = _docs(spark, folder).select("doc_id", F.explode(text.sections(F.col("text"), headings)).alias("s"))
     return found.select("doc_id", F.col("s.field").alias("field"), F.length("s.body").alias("size"), F.md5("s.body").alias("digest"))
 
 
@@ -226,8 +261,8 @@ def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, name_token_overlap, fuzzy_best_match, longest_name_in_text, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
-        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, route_domain_scores, route_queries, plan_answers, answer_queries,
+        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, name_token_overlap, name_token_overlap_all, fuzzy_best_match, longest_name_in_text, longest_name_in_text_all, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
+        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, intent_classify_all, route_domain_scores, route_domain_scores_all, route_queries, plan_answers, answer_queries,
         event_tumbling, event_sliding, event_sessions, page_sections, governing_admissions, hashed_vectors,
     )
 }
