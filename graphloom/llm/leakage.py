@@ -166,7 +166,8 @@ def accounted(hits: list[tuple[int, int, int, int]]) -> list[int]:
     """The cases of hits (case, from, to, edits) without those whose every hit lies where a closer case has its hits.
 
     Passages share phrases. Where one case's words stand, another's may differ from them by few enough words too; it
-    then only counts if some hit of it is for the greater part not covered by hits of as few edits of accepted cases.
+    then only counts if some hit of it is at least by half not covered by hits of fewer edits of accepted cases. Cases that
+    fit a place equally well all count.
     """
     by_case: dict[int, dict[tuple[int, int], int]] = {}
     for case, a, b, cost in hits:
@@ -184,7 +185,7 @@ def accounted(hits: list[tuple[int, int, int, int]]) -> list[int]:
     accepted = []
     for case in order:
         own = by_case[case]
-        new = any(sum(best.get(k, EDITS + 1) <= cost for k in range(a, b)) * 2 <= b - a for (a, b), cost in own.items())
+        new = any(sum(best.get(k, EDITS + 1) < cost for k in range(a, b)) * 2 <= b - a for (a, b), cost in own.items())
         if new:
             accepted.append(case)
             for (a, b), cost in own.items():

@@ -193,6 +193,16 @@ def test_leaks_found_however_written_and_no_others():
     assert not got - want and len(got & want) >= 0.97 * len(want)
 
 
+def test_passages_that_fit_equally_well_all_count():
+    words = [f"word{i}" for i in range(14)]
+    other, far = words.copy(), words.copy()
+    other[3], other[9], far[5] = "left", "right", "away"
+    said = words.copy()
+    said[3] = "left"
+    cases = [("a", " ".join(words)), ("b", " ".join(other)), ("c", " ".join(far))]
+    assert set(leakage.PassageIndex(cases).leaks([" ".join(said), " ".join(words)])) == {(0, "a"), (0, "b"), (1, "a")}
+
+
 def test_edit_check_is_exact():
     ix = leakage.PassageIndex(passages()[0])
     rnd = np.random.default_rng(0)
