@@ -21,8 +21,6 @@ from graphloom.session import materialize
 K1, B = 1.2, 0.75
 #: A pair counts only if it reaches this share of the score that the listing would have with a record just like itself.
 LEAST_SHARE = 0.35
-#: How many candidates of a listing are examined, best first.
-TOP_K = 16
 #: Most pairs from which the confidence is calibrated.
 CALIBRATION_ROWS = 5000
 
@@ -220,7 +218,7 @@ def candidates(queries: DataFrame, documents: DataFrame) -> DataFrame:
 def match(listing: DataFrame, entity: DataFrame, trust: DataFrame, campus_list: DataFrame) -> DataFrame:
     """Columns listing_id, entity_id, confidence of the pairs that belong together.
 
-    Of a listing's TOP_K best candidates those with the same institution, campus (where both are known), degree, subject
+    Of a listing's candidates, however many, those with the same institution, campus (where both are known), degree, subject
     and addition stay; the best of them must be mutual: no listing of the same wording lies nearer to another program.
     The confidence is a logistic function of the share of the whole score and of the gap to the next candidate.
     Listings without a title, institution or partner give no row; a program may have several listings.
@@ -230,7 +228,7 @@ def match(listing: DataFrame, entity: DataFrame, trust: DataFrame, campus_list:
     queries = materialize(_indexed(listing_records(listing, campuses), "listing_id").filter("institution <> ''"))
     documents = materialize(_indexed(program_records(entity, trust, campuses), "entity_id"))
     best = Window.partitionBy("listing_id").orderBy(F.desc("score"), "entity_id")
-    scored = candidates(queries, documents).withColumns({"rank": F.row_number().over(best), "next": F.lead("score").over(best)}).filter(F.col("rank") <= TOP_K)
+    scored = candidates(queries, documents).withColumns({"rank": F.row_number().over(best), "next": F.lead("score").over(best)})
     left = queries.select("listing_id", *[F.col(c).alias(f"q_{c}") for c in ("institution", "campus", "title")])
     right = documents.select("entity_id", *[F.col(c).alias(f"d_{c}") for c in ("institution", "campus", "title")])
 
@@ -242,9 +240,13 @@ def match(listing: DataFrame, entity: DataFrame, trust: DataFrame, campus_list:
                 same = qi == di and (not qc or not dc or qc == dc) and a[0] == z[0] and a[3] == z[3] and bool(a[1])
                 ok.append(bool(same and same_words(a[1], z[1]) and same_words(a[2], z[2])))
                 near.append(float((a[1] == z[1]) + (a[2] == z[2]) + (qc == dc)))
-            yield b[["listing_id", "entity_id", "whole", "score", "next", "rank"]].assign(ok=ok, near=near)
+            checked = b[["listing_id", "entity_id", "whole", "score", "next", "rank"]].assign(ok=np.array(ok, dtype=bool), near=near)
+            yield checked[checked["ok"] | (checked["rank"] == 1)]
 
-    checked = materialize(scored.join(left, "listing_id").join(right, "entity_id").mapInPandas(verify, "listing_id long, entity_id string, whole double, score double, next double, rank int, ok boolean, near double"))
+    # What the check turns down for its institution or campus need not go to Python; the first is kept for the calibration.
+    may = (F.col("q_institution") == F.col("d_institution")) & ((F.col("q_campus") == "") | (F.col("d_campus") == "") | (F.col("q_campus") == F.col("d_campus")))
+    pairs = scored.join(left, "listing_id").join(right, "entity_id").filter(may | (F.col("rank") == 1))
+    checked = materialize(pairs.mapInPandas(verify, "listing_id long, entity_id string, whole double, score double, next double, rank int, ok boolean, near double"))
     first = Window.partitionBy("listing_id").orderBy(F.desc("near"), F.desc("score"), "entity_id")
     chosen = checked.filter("ok").withColumn("k", F.row_number().over(first)).filter("k = 1")
     # Mutual: seen from the program, this listing must not be far behind the nearest of its listings.

@@ -138,6 +138,16 @@ def test_listings_meet_their_programs(spark, campus_list):
     assert {(r.listing_id, r.entity_id) for r in got} == {(x[0], x[5]) for x in listings if x[5]} and all(0 <= r.confidence <= 1 for r in got)
 
 
+def test_programs_behind_many_better_scores_are_found(spark, campus_list):
+    decoys = [f"Mar Sys {w}" for w in "alba birch cedar delta ember fjord grove heath inlet jetty knoll ledge mound nadir oasis plain quarry ridge slope tundra".title().split()]
+    names = [f"B.Tech Physics with {x}" for x in (*decoys, "Marine Systems")]
+    rows = [(i, f"program--org-{i}", n, None, "ELV", {}, "f", datetime(2024, 1, 1), "program") for i, n in enumerate(names)]
+    e = spark.createDataFrame(rows, "rec_id long, id string, name string, url string, campus string, attributes map<string,string>, feed string, scraped_at timestamp, entity_type string")
+    li = spark.createDataFrame([(1, "Org University", "B.Tech Physics with Mar. Sys.", None, "ELV")], "listing_id long, institute string, title string, url string, campus string")
+    got = entity_matching.match(li, e, spark.createDataFrame([("f", 1)], "feed string, trust int"), campus_list).collect()
+    assert [(r.listing_id, r.entity_id) for r in got] == [(1, f"program--org-{len(decoys)}")]
+
+
 # Broken pairs
 
 
