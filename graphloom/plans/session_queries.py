@@ -19,7 +19,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_semantic(spark: SparkSession, folder: str) -> DataFrame:
-    packed = _docs(spark, folder).select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("chunk_ix", "document"))
+    packed = _docs(spark, folder).select("doc_id", F.posexplode(chunking.pack(F.col("text"), lossless=True)).alias("chunk_ix", "document"))
     return packed.select("doc_id", "chunk_ix", F.length("document").alias("size"), F.md5("document").alias("digest"))
 
 
@@ -54,6 +54,12 @@ def _name_overlap(spark: SparkSession, folder: str, rows: str) -> DataFrame:
     return matching.overlaps(words(listing, "title", "lkey"), words(programs, "name", "rkey"), 0.8, symmetric=True)
 
 
+def chunk_ids_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Children of every type that hold the whole text; the SQL of chunk_ids has those of type infobox."""
+    children = chunking.build_chunks(_pages(spark, folder), lossless=True).filter("chunk_level = 'child'")
+    return children.select("chunk_id", "url", "chunk_type", "chunk_level", "chunk_ix", "parent_id")
+
+
 def name_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of the official list against programs' names: pairs of distinct word sets that share enough."""
     return _name_overlap(spark, folder, ASCII)
@@ -261,7 +267,7 @@ def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, name_token_overlap, name_token_overlap_all, fuzzy_best_match, longest_name_in_text, longest_name_in_text_all, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
+        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, chunk_ids_all, name_token_overlap, name_token_overlap_all, fuzzy_best_match, longest_name_in_text, longest_name_in_text_all, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
         session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, intent_classify_all, route_domain_scores, route_domain_scores_all, route_queries, plan_answers, answer_queries,
         event_tumbling, event_sliding, event_sessions, page_sections, governing_admissions, hashed_vectors,
     )

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from graphloom.operators import routing
+from graphloom.operators import chunking, routing
 from graphloom.plans.catalogue import QUERIES
 from tests.hostile import DATA
 
@@ -54,6 +54,17 @@ def test_first_edge_whatever_its_number(spark, folder):
     assert {(r.source_id, r.target_id) for r in QUERIES["single_parent_all"](spark, folder).collect()} == {("a", "p"), ("c", "q"), ("a", "x")}
 
 
+def test_chunks_hold_the_whole_text(spark, folder):
+    sizes = {}
+    for r in QUERIES["chunk_semantic"](spark, folder).collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r["size"]
+    assert sizes == {i: len(t) for i, t, _ in TEXTS if t}
+    assert {(r.url[-1], r.chunk_type) for r in QUERIES["chunk_ids_all"](spark, folder).collect() if r.chunk_type == "text"} == {(x, "text") for x in "124"}
+    page = spark.createDataFrame([("u", "t", "x" * 1500, "", "")], "url string, title string, content string, table_text string, infobox_text string")
+    pieces = [r.document.split("\n")[-1] for r in chunking.build_chunks(page, lossless=True).filter("chunk_level = 'child'").orderBy("chunk_ix").collect()]
+    assert "".join(pieces) == "x" * 1500
+
+
 def test_documents_of_every_script(spark, folder):
     got = {(r.doc_id, r.field): (r.size, r.digest) for r in QUERIES["page_sections"](spark, folder).collect()}
     said = lambda s: (len(s), hashlib.md5(s.encode()).hexdigest())
