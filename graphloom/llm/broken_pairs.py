@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,25 +14,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.languages import language
 from graphloom.llm.lookalikes import plain_form
+from graphloom.llm.refusals import is_refusal
 from graphloom.operators.skew import spread_join
 from graphloom.session import materialize
 
 #: What people and programs put where there is no answer.
 NOTHING = frozenset(("none", "null", "nan", "n a", "na", "nil", "undefined", "empty", "no answer", "no response", "tbd", "todo", "p p", "br", "div div", "xxx"))
-#: Refusals and reports of failure; * stands for any words.
-REFUSALS = (
-    "I'm sorry, but I can't help with that request.", "I don't have enough information to answer this question.", "I couldn't find anything about * in my sources.",
-    "No relevant information was found for your query. Please try again later.", "That is not something I am allowed to discuss.",
-    "My records are silent on this point, so I must leave it unanswered.", "LLM not running. Please retry.", "API Error: connection to the model service at port * was refused.",
-    "Sorry, unable to process this at the moment.", "Unfortunately this is outside what I can answer; kindly contact the office.",
-    "The service hit a technical issue (code *) and gave no result.", "Request timed out after * s; nothing was generated.", "I would rather not guess here. Please check with *.",
-    "I wish I could say more, but nothing I can see covers *.", "As an assistant I am not able to comment on *.", "I am unable to answer this question.", "I do not know the answer.",
-    "Das kann ich leider nicht beantworten.", "Dazu liegen mir keine Angaben vor.", "Hier muss ich passen, bitte fragen Sie das Büro.", "Es tut mir leid, dabei kann ich nicht helfen.",
-    "Désolé, je ne peux pas répondre à cette question.", "Je n’ai trouvé aucune information à ce sujet.", "Mes sources ne disent rien là-dessus ; voyez le secrétariat.",
-    "Lo siento, no puedo ayudar con eso.", "No dispongo de datos sobre este tema.", "Prefiero no responder; consulte en la oficina.",
-    "क्षमा करें, मैं इसका उत्तर नहीं दे सकता।", "मेरे पास इसकी कोई जानकारी नहीं है।", "यह प्रश्न मेरे दायरे से बाहर है।",
-    "மன்னிக்கவும், இதற்கு என்னால் பதிலளிக்க முடியாது.",
-)
 #: Polite openings that say nothing, and openings that announce a question given back.
 POLITE = ("hello", "hi", "thank you for reaching out", "thanks for asking", "good question", "sure", "here is what i found", "of course", "certainly")
 LEADS = ("q", "question", "you asked", "you asked me", "for your query", "your query was", "your question was", "so your question is", "your question is", "query", "user")
@@ -45,18 +34,19 @@ b.a b.sc b.des b.tech m.a m.sc m.des m.tech ph.d
 """.split())
 #: English, German, French and Spanish words after which a bare number is not the end.
 BEFORE_NUMBER = frozenset("at before than within covers lasts minimum um dem den am las à".split())
-#: Least share of a template's words, in order, and of the answer's, that make an answer a refusal.
-ALIGNED = 0.75
 #: Least share of words in common order for an answer to be the question given back, and of its word triples.
 COPIED, SHINGLED = 0.8, 0.6
+#: Least lead of a language over the next one, question and answer together, in words (one each at least).
+TOLD = 3
 PREVIEW = 300
+_TAG, _PLAIN_WORD = re.compile(r"<[^>]*>"), re.compile(r"[^\W_]+")
+_INNER_DOT, _TOKEN = re.compile(r"(?<=[^\W\d_])\.(?=[^\W\d_])"), re.compile(r"[\wऀ-ॿ஀-௿']+")
 
 
 @lru_cache(maxsize=50_000)
 def tokens(text: str) -> tuple[str, ...]:
     """Words in lower case; dots within abbreviations are ignored."""
-    t = re.sub(r"(?<=[^\W\d_])\.(?=[^\W\d_])", "", plain_form(text).lower().replace("’", "'"))
-    return tuple(re.findall(r"[\wऀ-ॿ஀-௿']+|\*", t))
+    return tuple(_TOKEN.findall(_INNER_DOT.sub("", plain_form(text).lower().replace("’", "'"))))
 
 
 def common_length(a: tuple[str, ...], b: tuple[str, ...]) -> int:
@@ -83,48 +73,32 @@ def without(openings: tuple[str, ...], words: tuple[str, ...]) -> tuple[str, ...
 
 
 def is_empty(answer: str) -> bool:
-    bare = re.sub(r"<[^>]*>", " ", plain_form(answer))
-    words = " ".join(re.findall(r"[^\W_]+", bare.lower()))
+    bare = _TAG.sub(" ", answer) if "<" in answer else answer
+    # What says nothing has a word or two, so a third one tells.
+    if sum(1 for _ in islice(_PLAIN_WORD.finditer(bare), 3)) == 3 and bare.isascii():
+        return False
+    words = " ".join(_PLAIN_WORD.findall(plain_form(bare).lower()))
     return not words or words in NOTHING
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer, apart from an announcement, is made of the question's words in their order, once or repeated."""
+    """Whether the answer, apart from an announcement, is made of the question's words in their order, once or however often.
+
+    An answer longer than the question is cut into stretches of the question's length: each must align with it.
+    """
     q, a = tokens(question), without(LEADS, without(POLITE, tokens(answer)))
-    if not q or not a or len(set(a) & set(q)) < SHINGLED * len(set(a)) or len(a) > 20 * len(q):
+    if not q or not a or len(set(a) & set(q)) < SHINGLED * len(set(a)):
+        return False
+    times = max(1, round(len(a) / len(q)))
+    if len(a) < COPIED * len(q) * times or len(a) * COPIED > len(q) * times:
         return False
-    q *= max(1, round(len(a) / len(q)))
-    n = common_length(a, q)
     triples = lambda w: {w[i : i + 3] for i in range(max(1, len(w) - 2))}
-    shared = len(triples(a) & triples(q)) / len(triples(a))
-    return n >= COPIED * len(a) and n >= COPIED * len(q) and shared >= SHINGLED
-
-
-@lru_cache(maxsize=1)
-def _templates() -> tuple[tuple[tuple[str, ...], frozenset[str], float, bool], ...]:
-    """Words of each template, their set, and how many words an answer may have to be like it."""
-    every = [(tuple(w for w in tokens(t) if w != "*"), "*" in t) for t in REFUSALS]
-    return tuple((w, frozenset(w), len(w) * 1.4 + (12 if gap else 2), gap) for w, gap in every)
-
-
-@lru_cache(maxsize=1)
-def _longest_refusal() -> float:
-    return max(most for _, _, most, _ in _templates())
-
-
-def is_refusal(answer: str) -> bool:
-    """Whether the answer, apart from politeness, aligns with a refusal: nearly all its words, in order, and little else."""
-    a = without(POLITE, tokens(answer))
-    if len(a) > _longest_refusal():
+    if len(triples(a) & triples(q * min(times, 2))) < SHINGLED * len(triples(a)):
         return False
-    have = set(a)
-    for words, distinct, most, gap in _templates():
-        # A common subsequence has no more distinct words than both have in common.
-        if len(a) <= most and len(have & distinct) >= ALIGNED * len(distinct) - (len(words) - len(distinct)):
-            n = common_length(a, words)
-            if n >= ALIGNED * len(words) and (gap or n >= ALIGNED * len(a)):
-                return True
-    return False
+    size = len(a) / times
+    stretches = Counter(a[round(i * size) : round((i + 1) * size)] for i in range(times))
+    common = sum(n * common_length(stretch, q) for stretch, n in stretches.items())
+    return common >= COPIED * len(a) and common >= COPIED * len(q) * times
 
 
 def end_key(line: str) -> str:
@@ -176,12 +150,12 @@ def judge(question: str | None, answer: str | None, cut: bool) -> tuple[str, str
         return "empty", ""
     if question and is_copy(question, answer):
         return "copy", ""
-    if is_refusal(answer):
+    if is_refusal(answer, frozenset(tokens(question or ""))):
         return "refusal", ""
     if question:
         asked, sure = language(question)
         said, lead = language(answer)
-        if asked and said and asked != said and sure >= 1 and lead >= 2:
+        if asked and said and asked != said and min(sure, lead) >= 1 and sure + lead >= TOLD:
             return "language", ""
     if cut:
         return "", ""
