@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.lookalikes import plain_form
 from graphloom.operators.skew import spread_join
+from graphloom.session import materialize
 
 #: Words that people put around a name and that name nothing themselves.
 FILLERS = ("campus", "campuses", "cmps", "cmp", "main", "the", "one", "near", "in", "at", "of", "city", "old", "ex", "former", "formerly", "new", "branch", "site", "all", "any")
-#: Least Jaccard similarity of q-gram sets at which a typed value and an alias are compared further.
-LEAST_JACCARD = 0.18
-#: Most edits, as a share of the longer of both, at which they are taken to be the same.
-MOST_EDITS = 0.40
+#: Least Jaccard similarity of token sets at which a typed value can mean an alias.
+LEAST_JACCARD = 0.3
+#: Most edits, as a share of the longer of both, that the alias found may lie away; less if the alias is a weak form.
+MOST_EDITS, MOST_EDITS_WEAK = 0.40, 0.17
 GRAM = 2
 
 
@@ -27,9 +29,15 @@ def letters(text: str) -> str:
 
 
 def grams(text: str) -> list[str]:
-    """The distinct character q-grams of a text without blanks, with marks for its ends."""
-    s = f"^{text.replace(' ', '')}$"
-    return sorted({s[i : i + GRAM] for i in range(len(s) - GRAM + 1)})
+    """The tokens of a text without blanks, spelt as it sounds: its letters, each with how often it came before, and its q-grams."""
+    s = sounded(text.replace(" ", ""))
+    seen: Counter = Counter()
+    out = set()
+    for ch in s:
+        seen[ch] += 1
+        out.add(f"{ch}{seen[ch]}")
+    s = f"^{s}$"
+    return sorted(out | {f"_{s[i : i + GRAM]}" for i in range(len(s) - GRAM + 1)})
 
 
 def bare(text: str) -> str:
@@ -80,7 +88,7 @@ def segments(value: str) -> list[tuple[str, str]]:
 
 
 def aliases(campus_list: DataFrame) -> DataFrame:
-    """Columns code, kind, alias, weak of each entry's code, names and their forms without vowels. Null names give none.
+    """Columns code, kind, alias, weak, h (its tokens) of each entry's code, names and their forms without vowels. Null names give none.
 
     A state names several campuses, so it is no alias.
     """
@@ -96,62 +104,61 @@ def aliases(campus_list: DataFrame) -> DataFrame:
                     telling = " ".join(w for w in plain.split() if w not in FILLERS)
                     rows += [(code, "name", plain, False), (code, "name", bare(plain), True), (code, "name", telling or plain, telling != plain)]
             if rows:
-                yield pd.DataFrame(rows, columns=["code", "kind", "alias", "weak"])
+                yield pd.DataFrame([(*r, grams(r[2])) for r in dict.fromkeys(rows)], columns=["code", "kind", "alias", "weak", "h"])
 
-    return each.mapInPandas(forms, "code string, kind string, alias string, weak boolean").distinct()
+    return each.mapInPandas(forms, "code string, kind string, alias string, weak boolean, h array<string>").dropDuplicates(["code", "kind", "alias", "weak"])
 
 
 def map_values(values: DataFrame, campus_list: DataFrame) -> DataFrame:
     """Columns value, code of the distinct rows of values (column value): code is empty if the value names no entry.
 
-    Typed segments that equal a code or alias are mapped at once. The others are joined with the aliases on q-grams:
-    grams are ordered by global rarity and only the prefix of each set that must share one with any similar set is
-    joined; length and position bounds drop pairs that cannot reach LEAST_JACCARD; the rest is verified exactly, and of
-    those within MOST_EDITS the closest alias wins (ties: whole value before part, higher Jaccard, smaller code).
-    Null, empty and unprintable values have an empty code.
+    Typed segments that equal a code or alias are mapped at once. The others are joined with the aliases by similarity of
+    their token sets, and the most similar alias within the edits allowed is kept (ties: fewer edits, whole value before
+    part, smaller code). Null, empty and unprintable values have an empty code.
     """
     distinct = values.select("value").filter("value IS NOT NULL").distinct()
-    schema = "value string, part int, kind string, text string"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, i, k, t) for v in b["value"] for i, (k, t) in enumerate(segments(v))]
+            rows = [(v, i, k, t, grams(t) if k == "name" else []) for v in b["value"] for i, (k, t) in enumerate(segments(v))]
             if rows:
-                yield pd.DataFrame(rows, columns=["value", "part", "kind", "text"])
-
-    parts = distinct.mapInPandas(cut, schema)
-    names = aliases(campus_list)
-    exact = parts.join(F.broadcast(names.filter("NOT weak").select("kind", F.col("alias").alias("text"), "code")), ["kind", "text"])
-    sure = exact.groupBy("value").agg(F.min(F.struct("part", "code")).alias("s")).select("value", F.col("s.code").alias("sure"))
-    fuzzy = similar(parts.filter("kind = 'name'").join(sure, "value", "left_anti").select("text").distinct(), names.filter("kind = 'name'"))
-    scored = parts.filter("kind = 'name'").join(fuzzy, "text")
-    best = scored.groupBy("value").agg(F.min(F.struct("share", "part", (-F.col("jaccard")).alias("less"), "code")).alias("b")).select("value", F.col("b.code").alias("near"))
+                yield pd.DataFrame(rows, columns=["value", "part", "kind", "text", "g"])
+
+    parts = materialize(distinct.mapInPandas(cut, "value string, part int, kind string, text string, g array<string>"))
+    names = materialize(aliases(campus_list))
+    exact = parts.join(names.filter("NOT weak").select("kind", F.col("alias").alias("text"), "code"), ["kind", "text"])
+    sure = materialize(exact.groupBy("value").agg(F.min(F.struct("part", "code")).alias("s")).select("value", F.col("s.code").alias("sure")))
+    unsure = parts.filter("kind = 'name'").join(sure, "value", "left_anti")
+    near = similar(unsure.groupBy("text").agg(F.first("g").alias("g")), names.filter("kind = 'name'"))
+    best = unsure.select("value", "part", "text").join(near, "text").groupBy("value").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "share", "part", "code")).alias("b")).select("value", F.col("b.code").alias("near"))
     return distinct.join(sure, "value", "left").join(best, "value", "left").select("value", F.coalesce("sure", "near", F.lit("")).alias("code"))
 
 
-def similar(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Columns text, code, jaccard, share (edits by length) of each text (column text) and alias that are similar enough."""
-    q = F.pandas_udf(lambda s: s.map(grams), "array<string>")
-    left = texts.select("text", q("text").alias("g"))
-    right = names.select("alias", "code", "weak", q("alias").alias("g"))
-    rarity = left.select(F.explode("g").alias("gram")).unionByName(right.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("freq"))
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns text, code, jaccard, share of each text (text, g) and alias (alias, code, weak, h) that are similar enough.
 
-    def prefixes(side: DataFrame, key: list[str]) -> DataFrame:
-        """The rarest grams of each set, with position and size: as many as leave too few for the least similarity."""
-        size = F.size("g")
-        each = side.select(*key, size.alias("size"), F.explode("g").alias("gram")).join(rarity, "gram")
-        at = Window.partitionBy(*key).orderBy("freq", "gram")
-        ranked = each.withColumn("pos", F.row_number().over(at))
-        return ranked.filter(F.col("pos") <= F.col("size") - F.ceil(F.lit(LEAST_JACCARD) * F.col("size")) + 1)
+    Tokens are ordered by global rarity and only the prefix of each set that must share one with any similar set is joined;
+    length and position bounds drop pairs that cannot reach LEAST_JACCARD; the rest is verified exactly. share: edits by
+    length, checked at the end.
+    """
+    rarity = left.select(F.explode("g").alias("gram")).unionByName(right.select(F.explode("h").alias("gram"))).groupBy("gram").agg(F.count("*").alias("freq"))
+
+    def prefixes(side: DataFrame, key: list[str], tokens: str) -> DataFrame:
+        """The rarest tokens of each set, with position and size: as many as leave too few for the least similarity."""
+        each = side.select(*key, F.explode(tokens).alias("gram")).join(rarity, "gram")
+        ranked = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("t")).withColumn("size", F.size("t"))
+        most = (F.col("size") - F.ceil(F.lit(LEAST_JACCARD) * F.col("size")) + 1).cast("int")
+        return ranked.select(*key, "size", F.posexplode(F.slice("t", F.lit(1), most)).alias("pos", "x")).select(*key, "size", (F.col("pos") + 1).alias("pos"), F.col("x.gram").alias("gram"))
 
-    a = prefixes(left, ["text"]).select("text", "gram", F.col("size").alias("n"), F.col("pos").alias("i"))
-    b = prefixes(right, ["alias", "code", "weak"]).select("alias", "code", "weak", "gram", F.col("size").alias("m"), F.col("pos").alias("j"))
+    a = prefixes(left, ["text"], "g").select("text", "gram", F.col("size").alias("n"), F.col("pos").alias("i"))
+    b = prefixes(right, ["alias", "code", "weak"], "h").select("alias", "code", "weak", "gram", F.col("size").alias("m"), F.col("pos").alias("j"))
     need = F.lit(LEAST_JACCARD / (1 + LEAST_JACCARD)) * (F.col("n") + F.col("m"))
     longer, shorter = F.greatest("n", "m"), F.least("n", "m")
     possible = (shorter >= longer * LEAST_JACCARD) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + F.least("i", "j") >= need - 1e-9)
     pairs = a.join(b, "gram").filter(possible).select("text", "alias", "code", "weak").distinct()
-    sets = pairs.withColumns({"g": q("text"), "h": q("alias")})
-    jaccard = F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))
+    sets = pairs.join(left, "text").join(right.select("alias", "code", "weak", "h"), ["alias", "code", "weak"])
+    common = F.size(F.array_intersect("g", "h"))
+    verified = sets.withColumn("jaccard", F.round(common / (F.size("g") + F.size("h") - common), 9)).filter(F.col("jaccard") >= LEAST_JACCARD)
 
     @F.pandas_udf("int")
     def distance(s: pd.Series, t: pd.Series) -> pd.Series:
@@ -160,11 +167,12 @@ def similar(texts: DataFrame, names: DataFrame) -> DataFrame:
             x, y = x.replace(" ", ""), y.replace(" ", "")
             most = int(MOST_EDITS * max(len(x), len(y)))
             out.append(min(edits(x, y, most), edits(sounded(x), sounded(y), most)))
-        return pd.Series(out)
+        return pd.Series(out, dtype="int32")
 
-    checked = sets.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= LEAST_JACCARD).withColumn("edits", distance("text", "alias"))
-    length = F.greatest(F.length(F.regexp_replace("text", " ", "")), F.length(F.regexp_replace("alias", " ", "")))
-    close = checked.withColumn("share", F.col("edits") / length).filter(F.col("share") <= F.when(F.col("weak"), 0.17).otherwise(MOST_EDITS))
+    # Kept from being moved below the exact test, where it would meet every pair.
+    distance = distance.asNondeterministic()
+    length = F.greatest(F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))), F.length(F.replace(F.col("alias"), F.lit(" "), F.lit(""))))
+    close = verified.withColumn("share", distance("text", "alias") / length).filter(F.col("share") <= F.when(F.col("weak"), MOST_EDITS_WEAK).otherwise(MOST_EDITS))
     return close.select("text", "code", "jaccard", "share")
 
 
@@ -177,6 +185,6 @@ def found(entity: DataFrame, chat_request: DataFrame, campus_list: DataFrame) ->
     given = entity.select(F.lit("entity").alias("src_table"), F.col("rec_id").alias("row_id"), F.col("campus").alias("value")).unionByName(
         chat_request.select(F.lit("chat_request").alias("src_table"), F.col("request_id").alias("row_id"), F.col("campus").alias("value"))
     )
-    codes = F.broadcast(campus_list.select(F.col("campus_code").alias("value")))
+    codes = campus_list.select(F.col("campus_code").alias("value"))
     typed = given.filter("value IS NOT NULL AND value <> ''").join(codes, "value", "left_anti").distinct()
     return spread_join(typed, map_values(typed, campus_list), ["value"], "row_id").select("src_table", "row_id", F.col("code").alias("campus_code"))

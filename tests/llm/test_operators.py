@@ -92,7 +92,9 @@ def test_similarity_join_loses_no_pair(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choices("abcde", k=rnd.randint(2, 7))) for _ in range(70)]
     texts, names = sorted(set(words[:40])), sorted(set(words[40:]))
-    got = {(r.text, r.code) for r in value_mapping.similar(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n, n, False) for n in names], "alias string, code string, weak boolean")).collect()}
+    got = {(r.text, r.code) for r in value_mapping.similar(
+        spark.createDataFrame([(t, value_mapping.grams(t)) for t in texts], "text string, g array<string>"), spark.createDataFrame([(n, n, False, value_mapping.grams(n)) for n in names], "alias string, code string, weak boolean, h array<string>")
+    ).collect()}
     want = set()
     for t in texts:
         for n in names:
@@ -148,6 +150,23 @@ def test_programs_behind_many_better_scores_are_found(spark, campus_list):
     assert [(r.listing_id, r.entity_id) for r in got] == [(1, f"program--org-{len(decoys)}")]
 
 
+def test_search_prunes_no_pair_above_the_threshold(spark):
+    rnd = random.Random(12)
+    pick = lambda k: sorted({int(rnd.paretovariate(0.7)) % 60 for _ in range(k)})
+    queries, docs = [(i, pick(rnd.randint(1, 9))) for i in range(60)], [(f"d{i}", pick(rnd.randint(1, 9))) for i in range(80)]
+    got = {(r.qid, r.did): round(r.score, 6) for r in entity_matching.search(spark.createDataFrame(queries, "qid long, terms array<long>"), spark.createDataFrame(docs, "did string, terms array<long>"), "qid", "did", 0.4).collect()}
+    n, mean, k, b = len(docs), sum(len(t) for _, t in docs) / len(docs), entity_matching.K1, entity_matching.B
+    df = {t: sum(t in ts for _, ts in docs) for _, q in queries for t in q}
+    idf = {t: np.log1p((n - f + 0.5) / (f + 0.5)) for t, f in df.items() if f}
+    want = {}
+    for q, terms in queries:
+        for d, ts in docs:
+            score = sum(idf[t] for t in terms if t in ts) * (k + 1) / (1 + k * (1 - b + b * len(ts) / mean))
+            if score and score >= 0.4 * sum(idf.get(t, 0) for t in terms):
+                want[q, d] = round(float(score), 6)
+    assert got == want and len(want) > 100
+
+
 # Broken pairs
 
 
