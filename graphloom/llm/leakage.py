@@ -19,23 +19,26 @@ WINDOW, EDITS = 12, 3
 WALKS, SAMPLES, POSITIONS = 16, 3, 5
 #: Steps of a walk; each window is embedded in as many symbols.
 STEPS = 3 * WINDOW
-#: How many passages are indexed, and sent to the executors, at once. More passages are searched in blocks.
-BLOCK = 2000
+#: About how many passages are indexed, and sent to the executors, at once (some 40 kB each). More are searched in blocks.
+BLOCK = 1000
 SEED = 20240607
 
 _WORD = re.compile(r"[a-z0-9]+")
+#: Words of any script: runs of letters, digits and vowel signs; where a script has no blanks, each character is a word.
+_ANY_WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿฀-๿]|(?:(?![぀-ヿ㐀-䶿一-鿿฀-๿])(?:[^\W_]|[ऀ-ॣ०-ൿ]))+")
 _UNSEEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 _ALIKE = {ord(ch): group[0].lower() for group in alike_groups() for ch in group[1:]}
 _SOME_ALIKE = re.compile("[" + "".join(map(chr, _ALIKE)) + "]")
 
 
 def words(text: str) -> list[str]:
-    """Words of Latin letters and digits in lower case, without accents, unseen characters and look-alikes."""
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-        if _SOME_ALIKE.search(text):
-            text = text.translate(_ALIKE)
-    return _WORD.findall(text.lower())
+    """Words of every script in lower case, without accents, unseen characters and look-alikes."""
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    if _SOME_ALIKE.search(text):
+        text = text.translate(_ALIKE)
+    return _ANY_WORD.findall(text.lower())
 
 
 class PassageIndex:
@@ -122,10 +125,10 @@ class PassageIndex:
             row = now
         return row.min(axis=0), row.argmin(axis=0)
 
-    def leaks(self, texts: list[str]) -> list[tuple[int, str]]:
-        """(row of texts, case) of every passage that a text holds and no closer passage accounts for."""
+    def hits(self, texts: list[str]) -> dict[int, list[tuple[str, int, int, int]]]:
+        """Row of texts -> (case, from, to, edits) of every place in it that holds a part of a passage."""
         if not len(self.windows):
-            return []
+            return {}
         owners, starts, windows, segments = [], [], [], []
         lead, size = EDITS, WINDOW + 3 * EDITS
         for i, text in enumerate(texts):
@@ -143,7 +146,7 @@ class PassageIndex:
                 starts.append(at)
                 segments.append(view)
         if not owners:
-            return []
+            return {}
         owner, start, segment = np.concatenate(owners), np.concatenate(starts), np.concatenate(segments)
         windows, same = np.unique(segment[:, lead : lead + WINDOW], axis=0, return_inverse=True)
         pairs = self.candidates(windows)
@@ -152,28 +155,28 @@ class PassageIndex:
         count = high - low
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         rows, passages = order[np.repeat(low, count) + within], np.repeat(pairs[:, 1], count)
-        hits: dict[int, list[tuple[int, int, int, int]]] = {}
+        hits: dict[int, list[tuple[str, int, int, int]]] = {}
         for part in range(0, len(rows), 100_000):
             r, p = rows[part : part + 100_000], passages[part : part + 100_000]
             cost, end = self.edits(self.windows[p], segment[r])
             for k in np.flatnonzero(cost <= EDITS):
                 stop = int(start[r[k]]) - lead + int(end[k])
-                hits.setdefault(int(owner[r[k]]), []).append((int(self.owner[p[k]]), max(0, stop - WINDOW), stop, int(cost[k])))
-        return [(i, self.names[c]) for i, found in hits.items() for c in accounted(found)]
+                hits.setdefault(int(owner[r[k]]), []).append((self.names[self.owner[p[k]]], max(0, stop - WINDOW), stop, int(cost[k])))
+        return hits
 
 
-def accounted(hits: list[tuple[int, int, int, int]]) -> list[int]:
+def accounted(hits: list[tuple[str, int, int, int]]) -> list[str]:
     """The cases of hits (case, from, to, edits) without those whose every hit lies where a closer case has its hits.
 
     Passages share phrases. Where one case's words stand, another's may differ from them by few enough words too; it
     then only counts if some hit of it is at least by half not covered by hits of fewer edits of accepted cases. Cases that
     fit a place equally well all count.
     """
-    by_case: dict[int, dict[tuple[int, int], int]] = {}
+    by_case: dict[str, dict[tuple[int, int], int]] = {}
     for case, a, b, cost in hits:
         own = by_case.setdefault(case, {})
         own[a, b] = min(cost, own.get((a, b), EDITS + 1))
-    weight: dict[int, int] = {}
+    weight: dict[str, int] = {}
     for case, own in by_case.items():
         spared: dict[int, int] = {}
         for (a, b), cost in own.items():
@@ -198,26 +201,35 @@ def leaked(documents: DataFrame, cases: DataFrame) -> DataFrame:
     """Columns doc_id, case_id: documents (doc_id, text) that hold a passage of cases (id, reference_passage).
 
     Held is a part of WINDOW successive words of the passage with up to EDITS words changed, dropped or added. Every
-    document is searched whole. Documents without text and passages shorter than WINDOW words give no row. The
-    passages are the stated query set: they are indexed in blocks of BLOCK, each sent to all executors.
+    document is searched whole, in every script. Documents without text and passages shorter than WINDOW words give no row.
+    The passages are the stated query set. The driver holds one block of them at a time and builds its index once; the index
+    is broadcast and the documents are read once a block. Where passages fit a place better or worse is decided over all blocks.
     """
     texts = documents.select("doc_id", "text").filter("text IS NOT NULL")
-    # The driver holds one block of passages at a time.
-    given = sorted((r["id"], r["reference_passage"] or "") for r in cases.select("id", "reference_passage").filter("id IS NOT NULL").distinct().toLocalIterator())
-    out = None
-    for at in range(0, max(1, len(given)), BLOCK):
-        block = given[at : at + BLOCK]
-
-        def search(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
-            index = PassageIndex(block)
+    given = cases.select("id", F.coalesce("reference_passage", F.lit("")).alias("passage")).filter("id IS NOT NULL").distinct()
+    blocks = -(-max(1, given.count()) // BLOCK)
+    context, out = documents.sparkSession.sparkContext, None
+    for n in range(blocks):
+        block = sorted(map(tuple, given.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()))
+        sent = context.broadcast(PassageIndex(block))
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             for b in batches:
-                found = index.leaks(b["text"].tolist())
-                if found:
-                    yield b.iloc[[i for i, _ in found]][["doc_id"]].assign(case_id=[c for _, c in found])
+                # Alone, a block decides at once; else its places are kept for the comparison with those of the others.
+                rows = [(b["doc_id"].iat[i], *h) for i, hits in sent.value.hits(b["text"].tolist()).items() for h in (hits if blocks > 1 else [(c, 0, 0, 0) for c in accounted(hits)])]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "case_id", "start", "stop", "edits"])
 
-        part = texts.mapInPandas(search, "doc_id long, case_id string")
+        part = texts.mapInPandas(search, "doc_id long, case_id string, start int, stop int, edits int")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    if blocks > 1:
+
+        def decide(hits: pd.DataFrame) -> pd.DataFrame:
+            kept = accounted(list(hits[["case_id", "start", "stop", "edits"]].itertuples(index=False, name=None)))
+            return pd.DataFrame({"doc_id": hits["doc_id"].iat[0], "case_id": kept})
+
+        out = out.groupBy("doc_id").applyInPandas(decide, "doc_id long, case_id string")
+    return out.select("doc_id", "case_id").distinct()
 
 
 def found(documents: DataFrame, eval_case: DataFrame) -> DataFrame:

@@ -36,18 +36,29 @@ def encoding(path: str):  # noqa: ANN201
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, or as four if one of them needs more."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def unpacked(features: pd.Series) -> np.ndarray:
+    """One row of counts per packed value."""
+    if (features.map(len) == FEATURES).all():
+        return np.frombuffer(b"".join(features), np.uint8).reshape(-1, FEATURES).astype(float)
+    return np.array([np.frombuffer(f, np.uint8 if len(f) == FEATURES else np.uint32) for f in features], dtype=float).reshape(-1, FEATURES)
+
+
 def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/{TOKENIZER}") -> DataFrame:
-    """Columns doc_id, source, key (hash of the text), tokens, features (counts of hashed tokens, one byte each).
+    """Columns doc_id, source, key (hash of the text), tokens, features (counts of hashed tokens as bytes, see packed).
 
-    Null texts count as empty. Whole texts are encoded; counts above 255 of one bucket are kept at 255, which only
-    the classifier sees.
+    Null texts count as empty. Whole texts are encoded and all their tokens counted.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(path).encode_ordinary
         for b in batches:
             ids = [np.array(encode(t), dtype=np.int64) for t in b["text"]]
-            features = [np.minimum(np.bincount(x * 2654435761 % 4294967291 % FEATURES, minlength=FEATURES), 255).astype(np.uint8).tobytes() for x in ids]
+            features = [packed(np.bincount(x * 2654435761 % 4294967291 % FEATURES, minlength=FEATURES)) for x in ids]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "key": b["key"], "tokens": [len(x) for x in ids], "features": features})
 
     texts = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
@@ -68,7 +79,7 @@ def classifier(counted: DataFrame, sources: list[str]) -> tuple[np.ndarray, np.n
             which = b["source"].map(place)
             known = which.notna().to_numpy()
             if known.any():
-                x = np.frombuffer(b"".join(b["features"][known]), np.uint8).reshape(-1, FEATURES).astype(float)
+                x = unpacked(b["features"][known])
                 at = which[known].to_numpy(dtype=int)
                 np.add.at(total, at, x)
                 np.add.at(docs, at, 1)
@@ -91,7 +102,7 @@ def posteriors(counted: DataFrame, sources: list[str], model: tuple[np.ndarray,
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.frombuffer(b"".join(b["features"]), np.uint8).reshape(-1, FEATURES).astype(float)
+            x = unpacked(b["features"])
             # Tokens of one text are far from independent: their evidence is averaged over the text, as for 20 of them.
             z = prior + (x @ likelihood.T) * (20 / np.maximum(20, x.sum(axis=1, keepdims=True)))
             at = b["source"].map(place).to_numpy(dtype=float)
@@ -150,9 +161,10 @@ def repeats(rate: Column) -> tuple[Column, Column]:
 def mix(documents: DataFrame, mix_target: DataFrame, path: str = f"{TOKENIZERS}/{TOKENIZER}", bucket_rows: int = 50_000) -> DataFrame:
     """Columns doc_id, source, tokens, repeats, rate: how often each document is taken into the mix.
 
-    The mix has as many tokens as the corpus. Copies of one text count as one text: only the first (smallest doc_id) is
+    The mix has as many tokens as the corpus, less what sources with too few texts cannot give. Copies of one text count as one text: only the first (smallest doc_id) is
     taken, at most as often as its source allows. Rates are rounded, documents of like size together, so that within
-    a source (or hash bucket of a large one) the sum of what was rounded stays within one; documents of sources without a target are not taken. A source with too few
+    a source, or within each hash bucket of about bucket_rows documents of a larger one, the number of repeats differs from the
+    sum of the rates by less than one; documents of sources without a target are not taken. A source with too few
     tokens for its target is taken as often as allowed and falls short; shares() reports it. An empty corpus gives no row.
     """
     goals = sorted((r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in mix_target.filter("source IS NOT NULL").collect())

@@ -49,7 +49,7 @@ def usual_scripts(names: DataFrame) -> DataFrame:
 def plain_names(table: DataFrame, key: str = "rec_id", name: str = "name") -> DataFrame:
     """Columns KEY, name, plain_name of the rows whose name is not in its plain form.
 
-    Null names give no row; an empty name is plain. Names keep case, wording, inner and outer ordinary spaces; marks
+    Null names give no row, nor do names in which nothing can be seen (they have no visible text, so no plain form); an empty name is plain. Names keep case, wording, inner and outer ordinary spaces; marks
     and letters that genuinely belong to a script stay. Each word takes the script that its own unmistakable letters
     show, else that of its neighbours, else the one in which the corpus has the word most often (Latin on a tie).
     """
@@ -80,7 +80,7 @@ def plain_names(table: DataFrame, key: str = "rec_id", name: str = "name") -> Da
     chosen = scripts.groupBy("key", "name").agg(F.map_from_entries(F.collect_set(F.struct("skeleton", "script"))).alias("chosen"))
     second = chosen.mapInPandas(rewrite, schema)
     done = first.filter(F.size("open") == 0).unionByName(second)
-    return done.filter("plain_name <> name").select(F.col("key").alias(key), "name", "plain_name")
+    return done.filter(F.col("plain_name").rlike(r"\S") & (F.col("plain_name") != F.col("name"))).select(F.col("key").alias(key), "name", "plain_name")
 
 
 def found(entity: DataFrame) -> DataFrame:

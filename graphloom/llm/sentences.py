@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most documents whose places are used for training.
-TRAINING_DOCUMENTS = 3000
+#: Most documents whose places are used for training, and the length in characters up to which a document may be among them, so
+#: that the sample is bounded in bytes as well. Every document is split, whatever its length.
+TRAINING_DOCUMENTS, TRAINING_LENGTH = 3000, 20_000
 #: Size of the hashed feature space, and of the model that is sent to the executors.
 SPACE = 1 << 16
 ROUNDS, RATE, DECAY = 120, 0.5, 1e-5
-#: A text whose longest line is shorter was not brought to a fixed width: its line breaks were meant.
+#: A property of layouts, not a limit: no fixed width is narrower, so the line breaks of a text of shorter lines were meant.
 NARROW = 40
 #: How often a word must begin a line or follow a certain boundary to be taken as a usual beginning.
 STARTS = 3
@@ -48,7 +49,7 @@ _LIST = re.compile(r"[ \t ]*(?:[-*•‣–·◦]|\(?\d{1,3}[.)]|\(?[a-z]\))[ \
 _THAI = re.compile(r"[฀-๿]")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿0-9])[ \n ]+(?=[฀-๿A-Z\d])|(?<=[A-Za-z0-9)])[ \n ]+(?=[฀-๿])")
 _DEGREE = re.compile(r"(b|m|ph)\.?(a|sc|des|tech|d|com|phil)$")
-_DIGIT = re.compile(r"\d")
+_DIGIT, _WORD_AT = re.compile(r"\d"), re.compile(r"\S+")
 _AFTER_NUMBER = re.compile(r"[\d.,:]+\s*([^\W\d_])")
 #: The end of a sentence that the next one follows without a blank.
 _GLUED = re.compile(r"^[^\s.]*[^\W_]{3,}\.(?=[^\W\d_a-z])")
@@ -162,8 +163,9 @@ def _word_before(s: str, end: int) -> tuple[str, int]:
     """The word that ends at `end`, blanks skipped, and where it starts. Breaks are blanks in s."""
     while end and s[end - 1].isspace():
         end -= 1
-    low = max(0, end - 40)
-    start = max(s.rfind(" ", low, end), low - 1) + 1
+    if end and ord(s[end - 1]) > 0x2E80:
+        return s[max(0, end - 2) : end], max(0, end - 2)  # scripts without blanks: the last two characters stand for a word
+    start = s.rfind(" ", 0, end) + 1
     return s[start:end], start
 
 
@@ -188,13 +190,12 @@ def places(s: str, inner: bool = False) -> Iterator[tuple[int, tuple]]:
         if m[2] and not within:
             # What looks like a closing mark opens the next quotation.
             stop = m.end(1)
-        window = flat[stop : stop + 60]
-        rest = window.lstrip()
-        if inner and not rest:
+        there = _WORD_AT.search(flat, stop)
+        if inner and not there:
             continue
-        nxt = window[:1]
+        nxt = flat[stop : stop + 1]
         mark = m[1][-1] if m[1] != "..." else "…"
-        glued = bool(rest) and len(rest) == len(window)
+        glued = bool(there) and there.start() == stop
         if glued and not nxt.isupper():
             if mark in ".…" and not (ord(nxt) > 0x900 and nxt.isalpha() or nxt in "“„«"):
                 continue
@@ -208,9 +209,8 @@ def places(s: str, inner: bool = False) -> Iterator[tuple[int, tuple]]:
             if not (len(before) > 2 and before[-1].islower() or before[-1:].isdigit() or before[-1:] in ")”") or "/" in before or "@" in before or "www." in before:
                 continue  # within an abbreviation or address
         before2, _ = _word_before(flat, start)
-        after = rest.split(None, 1)[0] if rest else ""
-        blanks = len(window) - len(rest)
-        gap = "end" if not rest else "none" if glued else "line" if "\n" in s[stop : stop + blanks] else "blank"
+        after = there[0] if there else ""
+        gap = "end" if not there else "none" if glued else "line" if "\n" in s[stop : there.start()] else "blank"
         if ord(after[:1] or " ") > 0x2E80:
             after = after[:2]
         elif "." in after and (run_on := _GLUED.match(after)):
@@ -218,7 +218,7 @@ def places(s: str, inner: bool = False) -> Iterator[tuple[int, tuple]]:
         if ord(before[-1:] or " ") > 0x2E80:
             before, before2 = before[-2:], ""
         # A number belongs to what follows it; its script tells whether that is another language.
-        after2 = shape(m2[1]) if after[:1].isdigit() and (m2 := _AFTER_NUMBER.match(rest)) else ""
+        after2 = shape(m2[1]) if after[:1].isdigit() and (m2 := _AFTER_NUMBER.match(flat, there.start())) else ""
         yield stop, (_cut(before2), _cut(before), mark, stop > m.end(1), gap, _cut(after.rstrip(".,;:!?”\")")[:24]), after2)
     if _THAI.search(s):
         for m in _THAI_SPACE.finditer(s):
@@ -226,8 +226,7 @@ def places(s: str, inner: bool = False) -> Iterator[tuple[int, tuple]]:
                 continue
             before, start = _word_before(flat, m.start())
             before2, _ = _word_before(flat, start)
-            rest = s[m.end() : m.end() + 40]
-            after = rest.split(None, 1)[0]
+            after = _WORD_AT.search(s, m.end())[0]
             yield m.start(), (_DIGIT.sub("0", before2[-6:]), _DIGIT.sub("0", before[-6:]), " ", False, "space", _DIGIT.sub("0", after[:6]), "")
 
 
@@ -359,9 +358,9 @@ def train(texts: list[str]) -> Model:
 
 
 def sample(documents: DataFrame, most: int = TRAINING_DOCUMENTS) -> list[str]:
-    """Texts of at most `most` documents, chosen by a hash of doc_id."""
-    chosen = documents.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return [r["text"] for r in documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").collect()]
+    """Texts of at most `most` documents of at most TRAINING_LENGTH characters, chosen by a hash of doc_id."""
+    chosen = documents.filter(F.length("text") <= TRAINING_LENGTH).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return [r["text"] for r in documents.select("doc_id", "text").filter(F.length("text") <= TRAINING_LENGTH).join(F.broadcast(chosen), "doc_id", "left_semi").collect()]
 
 
 def sentence_ends(documents: DataFrame, model: Model | None = None) -> DataFrame:

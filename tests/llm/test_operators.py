@@ -3,6 +3,7 @@ import re
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.llm import broken_pairs, entity_matching, leakage, lookalikes, mixing, plain_names, sentences, survivorship, value_mapping
@@ -201,6 +202,48 @@ def passages():
     return [(f"case{i}", " ".join(rnd.choices(vocabulary, k=40)) + ".") for i in range(12)], vocabulary
 
 
+def leaks(cases, texts):
+    return {(i, c) for i, hits in leakage.PassageIndex(cases).hits(texts).items() for c in leakage.accounted(hits)}
+
+
+def test_leaks_of_every_script():
+    hindi = "छात्रावास का शुल्क हर वर्ष जुलाई के पहले सप्ताह में कार्यालय की खिड़की पर जमा किया जाता है"
+    japanese = "入学手続きの書類は三月の最後の金曜日までに事務室の窓口へ提出してください"
+    cases = [("hi", hindi), ("ja", japanese)]
+    texts = [f"The office opens. {hindi.replace('जुलाई', 'मार्च')}।", f"案内: {japanese}。", "कार्यालय खुला है।", f"मूल पाठ {' '.join(hindi.split()[2:9])} यहाँ समाप्त।"]
+    assert leaks(cases, texts) == {(0, "hi"), (1, "ja")}
+
+
+def test_blocks_of_passages_decide_alike(spark, monkeypatch):
+    cases, vocabulary = passages()
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choice(cases)[1].split()[5:25])) for i in range(30)]
+    near = cases[0][1].split()
+    near[10], near[20] = "other", "word"
+    df, both = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*cases, ("near", " ".join(near))], "id string, reference_passage string")
+    alone = sorted(map(tuple, leakage.found(df, both).collect()))
+    monkeypatch.setattr(leakage, "BLOCK", 4)
+    assert sorted(map(tuple, leakage.found(df, both).collect())) == alone and len(alone) == 30
+
+
+@pytest.mark.parametrize("blanks", (1, 59, 60, 61, 5000))
+def test_sentences_any_number_of_blanks_apart(blanks):
+    model = sentences.train([])
+    text = f"The office opens at nine.{' ' * blanks}The desk closes at noon."
+    assert model.ends(text) == [25, len(text)]
+    assert model.ends("Write to " + "x" * 300 + ". The desk closes.") == [310, 327]
+
+
+def test_names_that_show_nothing_have_no_plain_form(spark):
+    df = spark.createDataFrame([(1, "\u200b\ufeff"), (2, " \u200b "), (3, "B.\u200bA"), (4, ""), (5, None)], "rec_id long, name string")
+    assert [tuple(r) for r in plain_names.found(df).collect()] == [(3, "B.A")]
+
+
+def test_counts_of_any_size_are_kept():
+    for counts in (np.arange(256), np.arange(256) * 1000):
+        assert (mixing.unpacked(pd.Series([mixing.packed(np.arange(256)), mixing.packed(counts)]))[1] == counts).all()
+
+
 def test_leaks_found_however_written_and_no_others():
     cases, vocabulary = passages()
     rnd, texts, want = random.Random(9), [], set()
@@ -218,7 +261,7 @@ def test_leaks_found_however_written_and_no_others():
         texts.append(f"The office opens at nine. यह सूची है। {said} And then it closes.")
         if size >= 12:
             want.add((i, name))
-    got = set(leakage.PassageIndex(cases).leaks(texts))
+    got = leaks(cases, texts)
     assert not got - want and len(got & want) >= 0.97 * len(want)
 
 
@@ -229,7 +272,7 @@ def test_passages_that_fit_equally_well_all_count():
     said = words.copy()
     said[3] = "left"
     cases = [("a", " ".join(words)), ("b", " ".join(other)), ("c", " ".join(far))]
-    assert set(leakage.PassageIndex(cases).leaks([" ".join(said), " ".join(words)])) == {(0, "a"), (0, "b"), (1, "a")}
+    assert leaks(cases, [" ".join(said), " ".join(words)]) == {(0, "a"), (0, "b"), (1, "a")}
 
 
 def test_edit_check_is_exact():
