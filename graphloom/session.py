@@ -25,15 +25,27 @@ def build_session(app: str = "graphloom", cores: str = "*", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode where none is named."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith(("local[", "local ")) and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint, which outlives a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized df that a later one replaced; nothing may read it any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    kept = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if kept is not None and kept.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(kept.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
