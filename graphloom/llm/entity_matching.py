@@ -242,8 +242,8 @@ def program_records(entity: DataFrame, trust: DataFrame, campuses: DataFrame) ->
     return sited.join(kept, "id", "left").select(F.col("id").alias("entity_id"), F.split(slug, "-")[0].alias("name"), "url", "campus", F.coalesce("name", said).alias("title"), "duration", "fees", "intake")
 
 
-def search(queries: DataFrame, documents: DataFrame, query: str, document: str, least: float = LEAST_SHARE) -> DataFrame:
-    """QUERY, DOCUMENT, score, whole: every pair whose BM25 score is at least `least` of whole, over the column terms.
+def search(queries: DataFrame, documents: DataFrame, query: str, document: str, least: float = LEAST_SHARE, mine: tuple[str, ...] = (), theirs: tuple[str, ...] = ()) -> DataFrame:
+    """QUERY, DOCUMENT, score, whole, and the columns `mine` of queries and `theirs` of documents: every pair whose BM25 score is at least `least` of whole, over the column terms.
 
     whole is the score of the query with a document that has all its terms; terms that no document has count on neither
     side. A query's terms are probed from the rarest on, only as long as the terms after them could still lift a document to
@@ -257,7 +257,8 @@ def search(queries: DataFrame, documents: DataFrame, query: str, document: str,
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     worth = frequency.select("term", "df", idf.alias("idf"), norm(F.col("least")).alias("most"))
     asked = queries.select(query, F.explode("terms").alias("term")).join(worth, "term")
-    weights = materialize(asked.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("df", "term", "idf"))).alias("q"), F.sum("idf").alias("whole"), F.max("most").alias("most")))
+    weighed = asked.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("df", "term", "idf"))).alias("q"), F.sum("idf").alias("whole"), F.max("most").alias("most"))
+    weights = materialize(weighed.join(queries.select(query, *mine), query) if mine else weighed)
     # From the rarest on, each term with the idf of all that come after it, as long as it must be probed; rest: what then remains.
     summed = F.aggregate(F.reverse("q"), F.struct(F.lit(0.0).alias("after"), F.array().cast("array<struct<term:bigint,idf:double,after:double>>").alias("out")),
         lambda acc, x: F.struct((acc.after + x.idf).alias("after"), F.concat(acc.out, F.array(F.struct(x.term.alias("term"), x.idf.alias("idf"), acc.after.alias("after"))))))["out"]
@@ -266,9 +267,9 @@ def search(queries: DataFrame, documents: DataFrame, query: str, document: str,
     probes = ranked.select(query, F.col("x.term").alias("term"), F.col("x.idf").alias("idf"), ((F.col("whole") * least) / F.col("most") - F.col("rest")).alias("wanted"))
     met = probes.join(posts.select(document, "term"), "term").groupBy(query, document).agg(F.sum("idf").alias("have"), F.first("wanted").alias("wanted"))
     pairs = met.filter(F.col("have") >= F.col("wanted") - 1e-9).select(query, document)
-    both = pairs.join(weights.select(query, "q", "whole"), query).join(documents.select(document, "terms"), document).crossJoin(F.broadcast(total.select("mean")))
+    both = pairs.join(weights.select(query, "q", "whole", *mine), query).join(documents.select(document, "terms", *theirs), document).crossJoin(F.broadcast(total.select("mean")))
     shared = F.aggregate(F.filter("q", lambda x: F.array_contains("terms", x.term)), F.lit(0.0), lambda acc, x: acc + x.idf)
-    scored = both.select(query, document, (shared * norm(F.size("terms"))).alias("score"), "whole")
+    scored = both.select(query, document, (shared * norm(F.size("terms"))).alias("score"), "whole", *mine, *theirs)
     return scored.filter(F.col("score") >= F.col("whole") * least)
 
 
@@ -284,12 +285,13 @@ def match(listing: DataFrame, entity: DataFrame, trust: DataFrame, campus_list:
     """
     values = listing.select(F.col("campus").alias("value")).unionByName(entity.filter("entity_type = 'program'").select(F.col("campus").alias("value")))
     campuses = materialize(map_values(values, campus_list).filter("code <> ''"))
-    queries = materialize(_indexed(listing_records(listing, campuses), "listing_id"))
-    documents = materialize(_indexed(program_records(entity, trust, campuses), "entity_id"))
+    fields = ("institution", "campus", "degree", "subject", "addition", "honours", "says")
+    marked = lambda df, mark: df.withColumnsRenamed({c: f"{mark}_{c}" for c in fields})
+    queries = materialize(marked(_indexed(listing_records(listing, campuses), "listing_id"), "q"))
+    documents = materialize(marked(_indexed(program_records(entity, trust, campuses), "entity_id"), "d"))
     best = Window.partitionBy("listing_id").orderBy(F.desc("score"), "entity_id")
-    scored = search(queries, documents, "listing_id", "entity_id").withColumns({"rank": F.row_number().over(best), "next": F.lead("score").over(best), "first": F.first("score").over(best)})
-    side = lambda df, key, mark: df.select(key, *[F.col(c).alias(f"{mark}_{c}") for c in ("institution", "campus", "degree", "subject", "addition", "honours", "says")])
-    pairs = scored.join(side(queries, "listing_id", "q"), "listing_id").join(side(documents, "entity_id", "d"), "entity_id")
+    found = search(queries, documents, "listing_id", "entity_id", mine=tuple(f"q_{c}" for c in fields), theirs=tuple(f"d_{c}" for c in fields))
+    pairs = found.withColumns({"rank": F.row_number().over(best), "next": F.lead("score").over(best), "first": F.first("score").over(best)})
     equal = lambda *names: reduce(lambda a, n: a & (F.col(f"q_{n}") == F.col(f"d_{n}")), names, F.lit(True))
     sited = (F.col("q_campus") == "") | (F.col("d_campus") == "") | equal("campus")
     # What the check turns down for a field needs no comparison of words; the first candidate is kept for the calibration.
