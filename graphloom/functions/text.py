@@ -39,6 +39,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def ascii_lower(text: Column) -> Column:
+    """Lower case in ASCII: letters and digits of other scripts as underscores, which are part of words, all else as blanks.
+
+    So a word boundary means the same to every regular-expression dialect, whatever the text's script.
+    """
+    plain = F.regexp_replace(F.lower(F.translate(text, "İ", "I")), r"[^\p{L}\p{N}\x00-\x7F]", " ")
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "_")
+
+
 def rewrite(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The text after each pattern of rules, in order, was replaced."""
     for pattern, new in rules:
@@ -53,13 +62,13 @@ def without(words: Column, stopwords: Sequence[str]) -> Column:
 
 def match_text(text: Column, rules: Sequence[tuple[str, str]] = MATCH_ALIASES, stopwords: Sequence[str] = MATCH_STOPWORDS) -> Column:
     """Lower case, short forms written out, other characters as blanks, stopwords dropped."""
-    plain = F.regexp_replace(rewrite(F.lower(text), rules), "[^a-z0-9]+", " ")
+    plain = F.regexp_replace(rewrite(ascii_lower(text), rules), "[^a-z0-9]+", " ")
     return F.array_join(without(F.split(plain, " "), stopwords), " ")
 
 
 def program_text(text: Column) -> Column:
     """A program title with one spelling per degree and plain blanks."""
-    return F.trim(F.regexp_replace(rewrite(F.lower(text), DEGREE_ALIASES), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(rewrite(ascii_lower(text), DEGREE_ALIASES), "[^a-z0-9]+", " "))
 
 
 def word_set(text: Column, stopwords: Sequence[str] = PROGRAM_STOPWORDS, least: int = 2) -> Column:

@@ -28,16 +28,11 @@ def kg_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kg_stats_cube(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "entity").join(F.broadcast(table(spark, folder, "campus_list").select(F.col("campus_code").alias("campus"))), "campus")
+    e = table(spark, folder, "entity")
     return e.cube("entity_type", "feed").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
 def duplicate_names(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.duplicate_names(_graph(spark, folder)[0].filter("name rlike '^[ -~]+$'"))
-
-
-def duplicate_names_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Names in every script; the SQL of duplicate_names has printable ASCII only."""
     return graph.duplicate_names(_graph(spark, folder)[0])
 
 
@@ -46,12 +41,17 @@ def multi_parent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def suspicious_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.suspicious_ids(_graph(spark, folder)[0])
+    """Of all ids that edges name, each with the type that its entity has or, without one, none."""
+    e, r = _graph(spark, folder)
+    named = r.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return graph.suspicious_ids(named.join(e.select("id", "entity_type"), "id", "left"))
 
 
 def edge_validation(spark: SparkSession, folder: str) -> DataFrame:
-    e, r = _graph(spark, folder)
-    return graph.invalid_edges(r, e)
+    """Of the edges as they were written, whose types are not always known ones."""
+    e, _ = _graph(spark, folder)
+    written = table(spark, folder, "relationship").filter("source_id <> '' AND target_id <> ''").select("source_id", "target_id", "relation_type", F.col("rel_id").alias("seq"))
+    return graph.invalid_edges(written, e).distinct()
 
 
 def kg_children(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,11 +77,6 @@ def kg_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kg_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.by_name(_graph(spark, folder)[0].filter("name rlike '^[ -~]+$'"))
-
-
-def kg_by_name_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Names in every script; the SQL of kg_by_name has printable ASCII only."""
     return graph.by_name(_graph(spark, folder)[0])
 
 
@@ -91,7 +86,7 @@ def shared_children(spark: SparkSession, folder: str) -> DataFrame:
 
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     e, r = _graph(spark, folder)
-    return graph.orphans(e, r, "program", ("offers_program",)).select("id", "name")
+    return graph.orphans(e, r, "program", ("admission_governs", "admission_covers")).select("id", "name")
 
 
 #: Kinds of relations of which a node keeps one edge.
@@ -99,11 +94,6 @@ _PARENT_CLASSES = (("has_department", "has_sub_college", "has_centre"), ("offers
 
 
 def single_parent(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.single_parent(_graph(spark, folder)[1].filter("relation_type <> 'offers_program' OR seq % 2 = 0"), _PARENT_CLASSES)
-
-
-def single_parent_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Over every edge; the SQL of single_parent leaves out each offers_program edge of odd number."""
     return graph.single_parent(_graph(spark, folder)[1], _PARENT_CLASSES)
 
 
@@ -128,9 +118,19 @@ def merge_entities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.merge_entities(e, r, merges)[1]
 
 
+def merge_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities after the merge of merge_entities: name, how many attributes, and the address of the last one merged in."""
+    e, r = _graph(spark, folder)
+    names = e.filter("entity_type = 'directorate'").groupBy("name").agg(F.min("id").alias("new_id"))
+    merges = e.filter("entity_type = 'directorate'").join(names, "name").filter("id <> new_id").select(F.col("id").alias("old_id"), "new_id")
+    merged = graph.merge_entities(e, r, merges)[0]
+    return merged.select("id", "name", "url", F.coalesce(F.size("attributes"), F.lit(0)).alias("attributes"), F.col("attributes")["alternate_url"].alias("alternate_url"))
+
+
 def drop_entities(spark: SparkSession, folder: str) -> DataFrame:
     e, r = _graph(spark, folder)
-    return graph.drop_entities(e, r, e.filter("entity_type = 'facility'"))[1]
+    kept, edges = graph.drop_entities(e, r, e.filter("entity_type = 'facility'"))
+    return edges.select("source_id", "target_id", "relation_type").unionByName(kept.select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.col("entity_type").alias("relation_type")))
 
 
 def drop_dangling(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,10 +162,9 @@ def upsert_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources cited by answers, as links from the answer's first source to the entities they lead to."""
-    docs = table(spark, folder, "chat_response").select(F.concat(F.lit("answer:"), "response_id").alias("url"), F.col("sources.url").alias("links"))
-    hosts = table(spark, folder, "entity").filter("entity_type = 'university'").select("id", F.concat(F.regexp_extract("url", r"^(\w+://[^/]+)", 1), F.lit("/hostel")).alias("url"))
-    return graph.link_edges(docs, hosts)
+    """Every address that a row of the entity table gives, as a link of that row, to the entities of that plain address."""
+    given = table(spark, folder, "entity").select(F.concat(F.lit("row:"), "rec_id").alias("url"), F.array("url").alias("links"))
+    return graph.link_edges(given, _graph(spark, folder)[0].select("id", "url"))
 
 
 def neighbours_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +190,9 @@ def kg_build(spark: SparkSession, folder: str) -> DataFrame:
     e, r = _graph(spark, folder)
     kids = graph.children(r.filter("relation_type LIKE 'has_%' OR relation_type = 'offers_program'"), e).select("parent_id", "id").join(e.select("id", "url"), "id")
     links = kids.groupBy(F.col("parent_id").alias("id")).agg(F.collect_set("url").alias("links"))
-    pages = e.filter("url LIKE 'http%'").join(links, "id", "left").select("url", F.col("name").alias("title"), F.lit("").alias("text"), "links", "seq")
+    own = e.filter("url LIKE 'http%'").join(links, "id", "left").select("url", F.col("name").alias("title"), F.lit("").alias("text"), "links", "seq")
+    texts = table(spark, folder, "documents").select("url", "title", F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("links"), (F.col("doc_id") + 2**40).alias("seq"))
+    pages = own.unionByName(texts.filter("url IS NOT NULL"))
     return build.build_graph(pages)[1].select("source_id", "relation_type", "target_id")
 
 
@@ -204,8 +205,8 @@ def add_programs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_entities, kg_edges, kg_stats, kg_stats_cube, duplicate_names, duplicate_names_all, multi_parent, suspicious_ids, edge_validation, kg_children, kg_parent, kg_listing, kg_roles, kg_search, kg_by_name, kg_by_name_all, shared_children,
-        orphans, single_parent, single_parent_all, dedup_edges, override_parents, merge_entities, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage, page_dispatch, kg_build, add_programs,
+        kg_entities, kg_edges, kg_stats, kg_stats_cube, duplicate_names, multi_parent, suspicious_ids, edge_validation, kg_children, kg_parent, kg_listing, kg_roles, kg_search, kg_by_name, shared_children,
+        orphans, single_parent, dedup_edges, override_parents, merge_entities, merge_attributes, drop_entities, drop_dangling, infer_parents, attach_centres, backfill_urls, upsert_entities, link_edges, neighbours_by_type, kg_lineage, page_dispatch, kg_build, add_programs,
     )
 }
 
@@ -226,22 +227,23 @@ ORACLES = {
     "kg_entities": f"{_G} SELECT id, name, entity_type, campus, url, seq FROM e",
     "kg_edges": f"{_G} SELECT * FROM r",
     "kg_stats": f"{_G} SELECT 'entity' AS what, coalesce(entity_type, '(all)') AS kind, count(*) AS n FROM e GROUP BY ROLLUP (entity_type) UNION ALL SELECT 'relation', coalesce(relation_type, '(all)'), count(*) FROM r GROUP BY ROLLUP (relation_type)",
-    "kg_stats_cube": "SELECT entity_type, feed, count(*) AS n, count(DISTINCT id) AS ids FROM entity JOIN campus_list ON campus = campus_code GROUP BY CUBE (entity_type, feed)",
-    "duplicate_names": f"{_G} SELECT lower(name) AS name, count(*) AS n, min(id) AS first_id FROM e WHERE regexp_full_match(name, '[ -~]+') GROUP BY 1 HAVING count(*) > 1",
+    "kg_stats_cube": "SELECT entity_type, feed, count(*) AS n, count(DISTINCT id) AS ids FROM entity GROUP BY CUBE (entity_type, feed)",
+    "duplicate_names": f"{_G} SELECT lower(name) AS name, count(*) AS n, min(id) AS first_id FROM e WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "multi_parent": f"{_G} SELECT target_id AS id, count(DISTINCT source_id) AS n FROM r WHERE relation_type IN ('admission_governs', 'also_listed_under', 'admission_covers') GROUP BY 1 HAVING count(DISTINCT source_id) > 1",
-    "suspicious_ids": f"{_G} SELECT id, entity_type FROM e WHERE coalesce(NOT starts_with(id, entity_type || '--') OR NOT regexp_matches(id, '^[a-z_]+--[a-z0-9-]+$'), true)",
-    "edge_validation": f"""{_G} SELECT source_id, target_id, relation_type, CASE WHEN relation_type = 'collaborates_with' THEN 'collaboration' ELSE 'relation_type' END AS reason FROM r LEFT JOIN e s ON s.id = source_id LEFT JOIN e t ON t.id = target_id
-      WHERE relation_type NOT IN ({", ".join(f"'{x}'" for x in graph.RELATION_TYPES)}) OR relation_type = 'collaborates_with' AND (coalesce(s.entity_type IN ('directorate', 'college', 'department'), false) OR coalesce(t.entity_type IN ('directorate', 'college', 'department'), false))""",
+    "suspicious_ids": f"{_G} SELECT id, entity_type FROM (SELECT source_id AS id FROM r UNION SELECT target_id FROM r) LEFT JOIN e USING (id) WHERE coalesce(NOT starts_with(id, entity_type || '--') OR NOT regexp_matches(id, '^[a-z_]+--[a-z0-9-]+$'), true)",
+    "edge_validation": f"""{_G} SELECT DISTINCT source_id, target_id, relation_type, CASE WHEN relation_type NOT IN ({", ".join(f"'{x}'" for x in graph.RELATION_TYPES)}) THEN 'relation_type' ELSE 'collaboration' END AS reason
+      FROM relationship LEFT JOIN e s ON s.id = source_id LEFT JOIN e t ON t.id = target_id WHERE source_id <> '' AND target_id <> ''
+      AND (relation_type NOT IN ({", ".join(f"'{x}'" for x in graph.RELATION_TYPES)}) OR relation_type = 'collaborates_with' AND (coalesce(s.entity_type IN ('directorate', 'college', 'department'), false) OR coalesce(t.entity_type IN ('directorate', 'college', 'department'), false)))""",
     "kg_children": f"{_G} SELECT source_id AS parent_id, relation_type, target_id AS id, name FROM r JOIN e ON e.id = target_id WHERE relation_type IN ('has_department', 'has_centre')",
     "kg_parent": f"{_G} SELECT target_id AS id, arg_max(source_id, seq) AS parent_id FROM r WHERE relation_type NOT IN ({_NP}) GROUP BY 1",
     "kg_listing": f"""{_G}, k AS (SELECT source_id AS parent_id, target_id AS id, name, relation_type, CASE relation_type WHEN 'has_department' THEN 0 WHEN 'has_sub_college' THEN 1 WHEN 'has_centre' THEN 2 ELSE 3 END AS p FROM r JOIN e ON e.id = target_id)
       SELECT DISTINCT parent_id, id, name, relation_type FROM k WHERE p = (SELECT min(p) FROM k x WHERE x.parent_id = k.parent_id)""",
     "kg_roles": f"{_G} SELECT id, name, x.key AS role, x.value AS person FROM (SELECT id, name, unnest(map_entries(attributes)) AS x FROM e) WHERE x.key IN ('hod', 'dean', 'chairperson', 'head') AND x.value IS NOT NULL",
     "kg_search": f"{_G}, h AS (SELECT *, lower(concat_ws(' ', name, array_to_string(map_values(attributes), ' '))) AS hay FROM e) SELECT id, name FROM h WHERE contains(hay, '60') AND contains(hay, 'years') AND contains(hay, 'tech') AND entity_type = 'program'",
-    "kg_by_name": f"{_G} SELECT lower(name) AS name, arg_max(id, seq) AS id FROM e WHERE regexp_full_match(name, '[ -~]+') GROUP BY 1",
+    "kg_by_name": f"{_G} SELECT lower(name) AS name, arg_max(id, seq) AS id FROM e WHERE name IS NOT NULL GROUP BY 1",
     "shared_children": f"{_G} SELECT target_id AS id, count(DISTINCT source_id) AS parents, min(source_id) AS first, max(source_id) AS last FROM r WHERE relation_type IN ('has_centre', 'offers_program', 'also_listed_under') GROUP BY 1 HAVING count(DISTINCT source_id) > 1",
-    "orphans": f"{_G} SELECT id, name FROM e WHERE entity_type = 'program' AND id NOT IN (SELECT target_id FROM r WHERE relation_type = 'offers_program')",
-    "single_parent": f"""{_G}, c AS (SELECT *, CASE WHEN relation_type IN ('has_department', 'has_sub_college', 'has_centre') THEN 0 WHEN relation_type = 'offers_program' THEN 1 WHEN relation_type = 'admission_governs' THEN 2 END AS c FROM r WHERE relation_type <> 'offers_program' OR seq % 2 = 0)
+    "orphans": f"{_G} SELECT id, name FROM e WHERE entity_type = 'program' AND id NOT IN (SELECT target_id FROM r WHERE relation_type IN ('admission_governs', 'admission_covers'))",
+    "single_parent": f"""{_G}, c AS (SELECT *, CASE WHEN relation_type IN ('has_department', 'has_sub_college', 'has_centre') THEN 0 WHEN relation_type = 'offers_program' THEN 1 WHEN relation_type = 'admission_governs' THEN 2 END AS c FROM r)
       SELECT source_id, target_id, relation_type, seq FROM (SELECT *, row_number() OVER (PARTITION BY target_id, c ORDER BY seq) AS n FROM c) WHERE c IS NULL OR n = 1""",
     "dedup_edges": "SELECT source_id, target_id, relation_type, min(rel_id) AS seq, max(rel_id % 7) AS confidence FROM relationship WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY ALL",
     "override_parents": f"""{_G}, moved AS (SELECT DISTINCT target_id FROM r WHERE relation_type = 'has_centre' AND source_id LIKE 'department--%')
@@ -249,7 +251,11 @@ ORACLES = {
       UNION ALL SELECT (SELECT min(id) FROM e WHERE entity_type = 'university'), target_id, 'has_centre', 4611686018427387904 FROM moved WHERE target_id IN (SELECT id FROM e)""",
     "merge_entities": f"""{_G}, {_DIR}, moved AS (SELECT coalesce(a.new_id, source_id) AS source_id, coalesce(b.new_id, target_id) AS target_id, relation_type, seq FROM r LEFT JOIN merges a ON a.old_id = source_id LEFT JOIN merges b ON b.old_id = target_id)
       SELECT source_id, target_id, relation_type, min(seq) AS seq FROM moved WHERE source_id <> target_id GROUP BY ALL""",
-    "drop_entities": f"{_G}, f AS (SELECT id FROM e WHERE entity_type = 'facility') SELECT * FROM r WHERE source_id NOT IN (FROM f) AND target_id NOT IN (FROM f)",
+    "drop_entities": f"{_G}, f AS (SELECT id FROM e WHERE entity_type = 'facility') SELECT source_id, target_id, relation_type FROM r WHERE source_id NOT IN (FROM f) AND target_id NOT IN (FROM f) UNION ALL SELECT id, NULL, entity_type FROM e WHERE id NOT IN (FROM f)",
+    "merge_attributes": f"""{_G}, {_DIR}, x AS (SELECT coalesce(new_id, id) AS id, id AS own, new_id IS NOT NULL AS gone, seq, name, url, attributes FROM e LEFT JOIN merges ON old_id = id),
+      k AS (SELECT id, count(DISTINCT key) AS n FROM (SELECT id, unnest(map_keys(attributes)) AS key FROM x) GROUP BY id)
+      SELECT x.id, arg_min(x.name, gone) FILTER (NOT gone) AS name, max(url) FILTER (NOT gone AND url <> '') AS url, coalesce(any_value(k.n), 0) + (count(*) FILTER (gone AND url <> '') > 0)::INT AS attributes, arg_max(url, seq) FILTER (gone AND url <> '') AS alternate_url
+      FROM x LEFT JOIN k USING (id) GROUP BY x.id""",
     "drop_dangling": f"{_G} SELECT * FROM r WHERE source_id IN (SELECT id FROM e) AND target_id IN (SELECT id FROM e)",
     "infer_parents": f"""{_G} SELECT * FROM (SELECT {_RULES} AS source_id, id AS target_id, 'has_topic' AS relation_type, seq FROM e WHERE entity_type = 'program' AND id NOT IN (SELECT target_id FROM r WHERE relation_type = 'admission_governs')) WHERE source_id IS NOT NULL""",
     "attach_centres": f"""{_G}, c AS (SELECT source_id, target_id, seq, CASE WHEN starts_with(source_id, 'directorate--') THEN 1 ELSE 0 END AS late FROM r WHERE relation_type IN ('has_centre', 'also_listed_under')),
@@ -257,9 +263,8 @@ ORACLES = {
       SELECT DISTINCT source_id, target_id, CASE WHEN source_id = owner THEN 'has_centre' ELSE 'also_listed_under' END AS relation_type, seq FROM c JOIN f USING (target_id)""",
     "backfill_urls": f"{_G}, g AS (SELECT id, max(url) AS given FROM entity WHERE url LIKE 'http%/' GROUP BY id) SELECT id, coalesce(given, url) AS url FROM e LEFT JOIN g USING (id)",
     "upsert_entities": "SELECT id, arg_min_null(name, rec_id) AS name, arg_max(url, rec_id) FILTER (url <> '') AS url, min(rec_id) AS seq FROM entity WHERE id <> '' GROUP BY id",
-    "link_edges": """WITH l AS (SELECT DISTINCT 'answer:' || response_id AS from_url, unnest(list_transform(sources, lambda s: s.url)) AS u FROM chat_response),
-      k AS (SELECT lower(regexp_extract(url, '^(\\w+://[^/]+)', 1) || '/hostel') AS plain, min(id) AS to_id FROM entity WHERE entity_type = 'university' AND url IS NOT NULL GROUP BY 1)
-      SELECT DISTINCT from_url, to_id FROM l JOIN k ON plain = lower(regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', ''))""",
+    "link_edges": f"""{_G}, k AS (SELECT lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS plain, min(id) AS to_id FROM e WHERE url IS NOT NULL GROUP BY 1)
+      SELECT DISTINCT 'row:' || rec_id AS from_url, to_id FROM entity JOIN k ON plain = lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''))""",
     "kg_lineage": f"WITH RECURSIVE {_LINKS}, a AS (SELECT id, string_split(path, ' > ') AS p FROM tree WHERE starts_with(id, 'program--')) SELECT id, ancestor, level - 1 AS level FROM (SELECT id, unnest(p) AS ancestor, generate_subscripts(p, 1)::INT AS level FROM a) WHERE ancestor <> id",
     "neighbours_by_type": f"{_G} SELECT source_id AS parent_id, entity_type, count(DISTINCT target_id) AS n FROM r JOIN e ON e.id = target_id WHERE relation_type LIKE 'has_%' GROUP BY ALL",
 }

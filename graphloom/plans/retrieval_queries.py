@@ -10,12 +10,14 @@ from graphloom.operators import retrieval
 from graphloom.sources.tables import table
 
 K = 8
-#: The stated questions are the eval cases; those that searches run for in the checks have these texts.
-QUESTIONS = (("q1", "annual fee of the hostel"), ("q2", "last date to submit the mark sheet"), ("q3", "interview panel of the department"))
+#: The question that documents are compressed for; searches run for all eval cases, which are the stated questions.
+QUESTION = "annual fee of the hostel"
+#: Words that show a question after a person, for the boost of role questions.
+WHO = "who is|head of|chair|decides"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id string, question string")
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_case").select(F.col("id").alias("query_id"), "question")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +40,7 @@ def bm25_doc_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    return retrieval.search_sparse(questions(spark), documents(spark, folder), k)
+    return retrieval.search_sparse(questions(spark, folder), documents(spark, folder), k)
 
 
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,9 +80,9 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def rerank_boost(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     kind = pages.kind(F.col("url"))
-    shaped = _sparse(spark, folder, 30).join(docs.select("doc_id", "url", "text"), "doc_id").join(F.broadcast(questions(spark)), "query_id")
+    shaped = _sparse(spark, folder, 30).join(docs.select("doc_id", "url", "text"), "doc_id").join(questions(spark, folder), "query_id")
     score = retrieval.overlap_rerank(F.col("question"), F.col("text"))
-    boosted = retrieval.boost(score, pages.tier(F.col("url")), pages.authority(F.col("url"), kind), F.col("question").contains("fee"), F.lit(False))
+    boosted = retrieval.boost(score, pages.tier(F.col("url")), pages.authority(F.col("url"), kind), F.lower("question").contains("fee"), F.lower("question").rlike(WHO))
     return retrieval.top(shaped.select("query_id", "doc_id", F.round(boosted, 6).alias("score")), K).select("query_id", "doc_id", "score", "rank")
 
 
@@ -101,7 +103,7 @@ def combine_chunk_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_compress(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).filter("text IS NOT NULL").withColumn("question", F.lit(QUESTIONS[0][1]))
+    docs = documents(spark, folder).filter("text IS NOT NULL").withColumn("question", F.lit(QUESTION))
     return retrieval.compress(docs, document="text").select("doc_id", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
@@ -144,7 +146,7 @@ def reformulate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).filter("text IS NOT NULL").select("doc_id", text.excerpt(F.regexp_replace("text", r"[^\x20-\x7E\n]", ""), 120).alias("excerpt"))
+    return documents(spark, folder).filter("text IS NOT NULL").select("doc_id", text.excerpt(F.col("text"), 120).alias("excerpt"))
 
 
 def clean_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +171,7 @@ _POSTS = f"posts AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT do
 _STATS = f"stats AS (SELECT count(*) AS n, avg(coalesce(len({_TOKENS}), 0)) AS mean FROM documents), "
 _TERMS = "terms AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM posts, stats GROUP BY term), "
 _WEIGHTS = "weights AS (SELECT doc_id, term, idf, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1))) AS weight FROM posts JOIN terms USING (term), stats)"
-_ASKED = "questions(query_id, question) AS (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in QUESTIONS) + "), asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM questions) GROUP BY ALL), "
+_ASKED = "questions AS (SELECT id AS query_id, question FROM eval_case), asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM questions) GROUP BY ALL), "
 _SCORES = "scores AS (SELECT query_id, doc_id, round(sum(weight * qtf * idf), 6) AS score FROM weights JOIN asked USING (term) GROUP BY ALL), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"
 _SPARSE = f"WITH {_POSTS}{_STATS}{_TERMS}{_ASKED}{_WEIGHTS}, {_SCORES}"
 _DIVERSE = "found AS (SELECT s.*, source FROM sparse s JOIN documents USING (doc_id) WHERE rank <= 40), diverse AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS nth FROM found) WHERE nth <= 2)"
@@ -204,7 +206,7 @@ def _read(part: str) -> str:
 
 _MARKED = "coalesce(" + ", ".join(f"CASE WHEN list_contains(lp, '{m}') THEN lp[list_position(lp, '{m}') + 1] END" for m in ("department", "college", "admission")) + ")"
 _PLAIN = "lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''))"
-_SQUEEZED = "trim(regexp_replace(regexp_replace(text, '[^\\x20-\\x7E\\n]', '', 'g'), '\\s+', ' ', 'g'))"
+_SQUEEZED = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
 _BODY = "trim(regexp_replace(response, '(?is)(\\n|^)\\s*\\*{0,2}sources?\\*{0,2}\\s*:.*', '', 'g'), ' ')"
 _SAID = f"trim(regexp_replace({_BODY}, '(?is)\\s*i don[''’]?t have (enough |specific )?information.*?[.!]\\s*', ' ', 'g'), ' ')"
 
@@ -218,11 +220,11 @@ ORACLES = {
     "dense_topk_filtered": f"SELECT query_id, vec_id, score, rank FROM {_near(' AND v.label % 2 = 0', 10, 'WHERE score >= 0.05')}",
     "rrf_fusion": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
       SELECT query_id, vec_id, round(sum(1.0 / (rank + 60)), 8) AS score FROM (SELECT * FROM {_near('', 40)} UNION ALL SELECT * FROM {_near(' AND v.label % 2 = 0', 40)}) GROUP BY ALL)) WHERE rank <= 30""",
-    "rerank_boost": f"""{_SPARSE}, shaped AS (SELECT s.query_id, s.doc_id, contains(question, 'fee') AS adm, {_tier('url')} AS tier, {_authority(_kind('url'), f'len({_URL_PATH})')} AS authority,
+    "rerank_boost": f"""{_SPARSE}, shaped AS (SELECT s.query_id, s.doc_id, contains(lower(question), 'fee') AS adm, regexp_matches(lower(question), '{WHO}') AS role, {_tier('url')} AS tier, {_authority(_kind('url'), f'len({_URL_PATH})')} AS authority,
         len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), {_TOKENS})) / len(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) AS base
       FROM sparse s JOIN documents USING (doc_id) JOIN questions USING (query_id) WHERE rank <= 30)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id,
-        round(base * CASE WHEN NOT adm THEN 1.0 WHEN tier = 'tier1_admission' THEN 1.5 WHEN tier = 'tier2_academic' THEN 1.0 ELSE 0.9 END * (0.8 + 0.2 * authority), 6) AS score FROM shaped)) WHERE rank <= {K}""",
+        round(base * CASE WHEN NOT adm THEN 1.0 WHEN tier = 'tier1_admission' THEN 1.5 WHEN tier = 'tier2_academic' THEN 1.0 ELSE 0.9 END * CASE WHEN role THEN 0.5 + authority ELSE 0.8 + 0.2 * authority END, 6) AS score FROM shaped)) WHERE rank <= {K}""",
     "parent_context": f"""{_SPARSE}, {_DIVERSE}, picked AS (SELECT d.query_id, d.source AS parent_id, d.rank, d.score, text AS document FROM diverse d JOIN documents USING (doc_id) WHERE d.rank <= {K}),
       parents AS (SELECT source AS parent_id, arg_min(text, doc_id) AS document FROM documents WHERE text IS NOT NULL GROUP BY source),
       first AS (SELECT query_id, parent_id, min(rank) AS rank FROM picked GROUP BY ALL)

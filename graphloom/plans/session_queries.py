@@ -43,17 +43,6 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     return children.select("chunk_id", "url", "chunk_type", "chunk_level", "chunk_ix", "parent_id")
 
 
-#: Rows that DuckDB and Spark read alike: queries with SQL keep to them, and the query NAME_all has every row.
-ASCII = "^[ -~]+$"
-
-
-def _name_overlap(spark: SparkSession, folder: str, rows: str) -> DataFrame:
-    words = lambda df, name, key: df.select(text.word_set(F.col(name)).alias("words")).filter("size(words) > 0").select(F.array_join("words", " ").alias(key), "words").distinct()
-    listing = table(spark, folder, "program_listing").filter(F.col("title").rlike(rows))
-    programs = table(spark, folder, "entity").filter((F.col("entity_type") == "program") & F.col("name").rlike(rows))
-    return matching.overlaps(words(listing, "title", "lkey"), words(programs, "name", "rkey"), 0.8, symmetric=True)
-
-
 def chunk_ids_all(spark: SparkSession, folder: str) -> DataFrame:
     """Children of every type that hold the whole text; the SQL of chunk_ids has those of type infobox."""
     children = chunking.build_chunks(_pages(spark, folder), lossless=True).filter("chunk_level = 'child'")
@@ -62,11 +51,9 @@ def chunk_ids_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def name_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of the official list against programs' names: pairs of distinct word sets that share enough."""
-    return _name_overlap(spark, folder, ASCII)
-
-
-def name_token_overlap_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _name_overlap(spark, folder, "")
+    words = lambda df, name, key: df.select(text.word_set(F.col(name)).alias("words")).filter("size(words) > 0").select(F.array_join("words", " ").alias(key), "words").distinct()
+    programs = table(spark, folder, "entity").filter("entity_type = 'program'")
+    return matching.overlaps(words(table(spark, folder, "program_listing"), "title", "lkey"), words(programs, "name", "rkey"), 0.8, symmetric=True)
 
 
 def fuzzy_best_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,19 +62,11 @@ def fuzzy_best_match(spark: SparkSession, folder: str) -> DataFrame:
     return matching.best_names(listing, programs)
 
 
-def _longest_name(spark: SparkSession, folder: str, rows: str) -> DataFrame:
-    asked = table(spark, folder, "chat_request").filter(F.col("query").rlike(rows)).select(F.col("request_id").alias("text_id"), text.match_text(F.col("query")).alias("text")).distinct()
-    units = graph.entities_of(table(spark, folder, "entity")).filter(F.col("name").rlike(rows))
-    return matching.names_in_texts(asked, matching.normalized_names(units, ("department", "school", "college", "centre")))
-
-
 def longest_name_in_text(spark: SparkSession, folder: str) -> DataFrame:
     """The longest name of a unit inside each question."""
-    return _longest_name(spark, folder, ASCII)
-
-
-def longest_name_in_text_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _longest_name(spark, folder, "")
+    asked = table(spark, folder, "chat_request").filter("query IS NOT NULL").select(F.col("request_id").alias("text_id"), text.match_text(F.col("query")).alias("text")).distinct()
+    units = graph.entities_of(table(spark, folder, "entity"))
+    return matching.names_in_texts(asked, matching.normalized_names(units, ("department", "school", "college", "centre")))
 
 
 def _catalogues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +118,10 @@ def session_recent_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pronoun_followups(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chat_request").select("request_id", "query").distinct().filter(sessions.follow_up(F.col("query"))).select("request_id")
+    """Questions and answers that refer to what was said before."""
+    said = table(spark, folder, "chat_response").select(F.col("response_id").alias("row_id"), F.col("response").alias("text"), F.lit("answer").alias("side"))
+    asked = table(spark, folder, "chat_request").select(F.col("request_id").alias("row_id"), F.col("query").alias("text"), F.lit("question").alias("side"))
+    return said.unionByName(asked).distinct().filter(sessions.follow_up(F.col("text"))).select("side", "row_id")
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,34 +150,21 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.summary(eval_metrics(spark, folder))
 
 
-def _intents(spark: SparkSession, folder: str, rows: str) -> DataFrame:
-    q = F.col("query")
-    flags = [c.alias(n) for n, c in routing.intent_flags(q).items()]
-    asked = table(spark, folder, "chat_request").filter(q.rlike(rows)).select("request_id", "query").distinct()
-    return asked.select("request_id", routing.query_type(q).alias("query_type"), *flags, routing.intent_label(q).alias("label"))
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chat_request").filter("query IS NOT NULL").select("request_id", "query").distinct()
 
 
 def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
-    return _intents(spark, folder, ASCII)
-
-
-def intent_classify_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _intents(spark, folder, "")
-
-
-def _domains(spark: SparkSession, folder: str, rows: str) -> DataFrame:
-    q, no = F.col("query"), F.lit(False)
-    asked = table(spark, folder, "chat_request").filter(q.rlike(rows)).select("request_id", "query").distinct().withColumn("task", routing.task(q, no))
-    return asked.select("request_id", "task", routing.best_domain(routing.domain_scores(q, F.col("task"), no, no, no)).alias("domain"))
+    q = F.col("query")
+    flags = [c.alias(n) for n, c in routing.intent_flags(q).items()]
+    return _asked(spark, folder).select("request_id", routing.query_type(q).alias("query_type"), *flags, routing.intent_label(q).alias("label"))
 
 
 def route_domain_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Task and domain by the words alone."""
-    return _domains(spark, folder, ASCII)
-
-
-def route_domain_scores_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _domains(spark, folder, "")
+    q, no = F.col("query"), F.lit(False)
+    asked = _asked(spark, folder).withColumn("task", routing.task(q, no))
+    return asked.select("request_id", "task", routing.best_domain(routing.domain_scores(q, F.col("task"), no, no, no)).alias("domain"))
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,15 +236,19 @@ def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, chunk_ids_all, name_token_overlap, name_token_overlap_all, fuzzy_best_match, longest_name_in_text, longest_name_in_text_all, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
-        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, intent_classify_all, route_domain_scores, route_domain_scores_all, route_queries, plan_answers, answer_queries,
+        chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, chunk_ids_all, name_token_overlap, fuzzy_best_match, longest_name_in_text, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
+        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, route_domain_scores, route_queries, plan_answers, answer_queries,
         event_tumbling, event_sliding, event_sessions, page_sections, governing_admissions, hashed_vectors,
     )
 }
 
 
+def _ascii(column: str) -> str:
+    return f"regexp_replace(regexp_replace(lower(replace({column}, 'İ', 'I')), '[^\\p{{L}}\\p{{N}}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
 def _rewritten(column: str, rules: tuple) -> str:
-    out = f"lower({column})"
+    out = _ascii(column)
     for pattern, new in rules:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     return out
@@ -316,7 +289,7 @@ hits AS (SELECT request_id, o.key, miss.n IS NULL AS hit FROM o LEFT JOIN miss U
 
 
 def _has(pattern: str) -> str:
-    return f"coalesce(regexp_matches(lower(query), '{pattern}'), false)"
+    return f"coalesce(regexp_matches(plain, '{pattern}'), false)"
 
 
 def _case(pairs: list[tuple[str, str]], otherwise: str) -> str:
@@ -331,7 +304,7 @@ _FLAGS = {
     "is_btech_query": _BT, "is_role_query": _has(_W(r"hod|head\s+of(\s+the)?\s+department|head\s+of|chairperson|chair\s+person|department\s+head")),
 }
 _TYPE = _case([(_has(p), n) for p, n in _R.QUERY_TYPES], "factual")
-_ASKED = "(SELECT DISTINCT request_id, query FROM chat_request WHERE regexp_full_match(query, '[ -~]+'))"
+_ASKED = f"(SELECT DISTINCT request_id, query, {_ascii('query')} AS plain FROM chat_request WHERE query IS NOT NULL)"
 _TASK = _case([(_has(_R.COMPARE), "compare"), (_has(_R.LIST), "list"), (_has(_R.ELIGIBILITY), "eligibility_check"), (_has(_R.PROCEDURE), "procedure"), (_has(_R.TIMELINE), "timeline"), (_has(_R.ROLE), "lookup")], "general")
 
 
@@ -372,12 +345,20 @@ ORACLES = {
       len(trim(regexp_replace({_HEAD} || chr(10) || (concat_ws(chr(10), text, '', 'source: ' || source))[1:2000], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))::INT AS size FROM documents WHERE text IS NOT NULL""",
     "chunk_ids": """SELECT regexp_replace(md5(url || '::child::infobox::0'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS chunk_id, url, 'infobox' AS chunk_type, 'child' AS chunk_level, 0 AS chunk_ix,
       regexp_replace(md5(url || '::parent'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS parent_id FROM documents WHERE text IS NOT NULL""",
-    "name_token_overlap": f"""WITH l AS (SELECT DISTINCT {_word_set('title')} AS lw FROM program_listing WHERE regexp_full_match(title, '[ -~]+')), r AS (SELECT DISTINCT {_word_set('name')} AS rw FROM entity WHERE entity_type = 'program' AND regexp_full_match(name, '[ -~]+'))
+    "name_token_overlap": f"""WITH l AS (SELECT DISTINCT {_word_set('title')} AS lw FROM program_listing WHERE title IS NOT NULL), r AS (SELECT DISTINCT {_word_set('name')} AS rw FROM entity WHERE entity_type = 'program' AND name IS NOT NULL)
       SELECT array_to_string(lw, ' ') AS lkey, array_to_string(rw, ' ') AS rkey, share FROM (SELECT lw, rw, round(len(list_intersect(lw, rw)) / len(list_distinct(lw || rw)), 6) AS share FROM l, r WHERE len(lw) > 0 AND len(rw) > 0) WHERE share >= 0.8""",
-    "longest_name_in_text": f"""WITH t AS (SELECT DISTINCT request_id AS text_id, {_match_text('query')} AS text FROM chat_request WHERE regexp_full_match(query, '[ -~]+')),
-      u AS (SELECT id, {_match_text('name')} AS plain FROM ({_LAST}) WHERE entity_type IN ('department', 'school', 'college', 'centre') AND regexp_full_match(name, '[ -~]+')),
+    "longest_name_in_text": f"""WITH t AS (SELECT DISTINCT request_id AS text_id, {_match_text('query')} AS text FROM chat_request WHERE query IS NOT NULL),
+      u AS (SELECT id, {_match_text('name')} AS plain FROM ({_LAST}) WHERE entity_type IN ('department', 'school', 'college', 'centre')),
       n AS (SELECT name, min(id) AS name_id FROM (SELECT id, plain AS name FROM u UNION ALL SELECT id, regexp_replace(plain, '^(department|dept|faculty|college|school|directorate|centre|center|division)\\s+', '') FROM u) WHERE name <> '' GROUP BY name)
       SELECT text_id, name_id, name FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY len(name) DESC, name_id, name) AS k FROM t JOIN n ON contains(' ' || text || ' ', ' ' || name || ' ')) WHERE k = 1""",
+    "fuzzy_best_match": f"""WITH r AS (SELECT listing_id AS row_id, {_program_text('title')} AS plain, {_word_set('title')} AS w FROM program_listing WHERE title IS NOT NULL),
+      n AS (SELECT min(id) AS name_id, plain, w FROM (SELECT id, {_program_text('name')} AS plain, {_word_set('name')} AS w FROM ({_LAST}) WHERE entity_type = 'program' AND name IS NOT NULL) GROUP BY plain, w),
+      p AS (SELECT row_id, name_id, r.plain AS rp, n.plain AS np, round(len(list_intersect(r.w, n.w)) / len(r.w), 6) AS share FROM r, n WHERE len(r.w) > 0 AND len(n.w) > 0),
+      s AS (SELECT row_id, name_id, round(share + CASE WHEN contains(np, rp) OR contains(rp, np) THEN 0.2 ELSE 0 END + CASE WHEN split_part(rp, ' ', 1) = split_part(np, ' ', 1) THEN 0.1 ELSE 0 END, 6) AS score FROM p WHERE share >= 0.45)
+      SELECT row_id, name_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, name_id) AS k FROM s) WHERE k = 1""",
+    "department_match": f"""WITH l AS ({_LAST}), p AS (SELECT id AS program_id, {_word_set('name')} AS w FROM l WHERE entity_type = 'program' AND name IS NOT NULL), d AS (SELECT id AS department_id, {_word_set('name')} AS w FROM l WHERE entity_type = 'department' AND name IS NOT NULL),
+      s AS (SELECT program_id, department_id, round(len(list_intersect(p.w, d.w)) / len(list_distinct(p.w || d.w)), 6) AS share FROM p, d WHERE len(p.w) > 0 AND len(d.w) > 0)
+      SELECT program_id, department_id, share FROM (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY share DESC, department_id) AS k FROM s WHERE share >= 0.25) WHERE k = 1""",
     "reconcile_tiers": f"WITH {_TIERS} SELECT * FROM tiers",
     "reconcile_missing": f"WITH {_TIERS} SELECT lid, name FROM l WHERE lid NOT IN (SELECT lid FROM tiers)",
     "reconcile_stale": f"WITH {_TIERS} SELECT rid, name FROM k WHERE rid NOT IN (SELECT rid FROM tiers)",
@@ -386,7 +367,7 @@ ORACLES = {
       SELECT session_id, turn_id, len(context)::INT AS size, md5(context) AS digest FROM c""",
     "session_recent_turns": f"""WITH {_TURNS}, s AS (SELECT session_id FROM turns GROUP BY 1 ORDER BY max(moment) DESC, session_id LIMIT 20)
       SELECT * FROM (SELECT session_id, turn_id, row_number() OVER (PARTITION BY session_id ORDER BY moment DESC, turn_id DESC) AS n FROM turns JOIN s USING (session_id)) WHERE n <= 3""",
-    "pronoun_followups": "SELECT DISTINCT request_id FROM chat_request WHERE regexp_matches(lower(query), '(^|[^a-z])(he|she|they|it|this|that|his|her|their|its|them|those|the same|above|previous)([^a-z]|$)')",
+    "pronoun_followups": "SELECT side, row_id FROM (SELECT DISTINCT 'answer' AS side, response_id AS row_id, response AS t FROM chat_response UNION ALL SELECT DISTINCT 'question', request_id, query FROM chat_request) WHERE regexp_matches(lower(t), '(^|[^a-z])(he|she|they|it|this|that|his|her|their|its|them|those|the same|above|previous)([^a-z]|$)')",
     "cache_ttl_sim": f"WITH RECURSIVE {_HITS} SELECT * FROM hits",
     "cache_stats": f"WITH RECURSIVE {_HITS} SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate FROM hits",
     "cache_evict": f"WITH {_REQ} SELECT key, strftime(max(moment), '%Y-%m-%d %H:%M:%S') AS used FROM req GROUP BY key ORDER BY max(moment) DESC, key LIMIT 50",

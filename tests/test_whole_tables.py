@@ -36,22 +36,22 @@ def folder(tmp_path_factory):
 
 
 def test_questions_of_every_script(spark, folder):
-    kinds = {r.request_id: r.query_type for r in QUERIES["intent_classify_all"](spark, folder).collect()}
+    kinds = {r.request_id: r.query_type for r in QUERIES["intent_classify"](spark, folder).collect()}
     want = {i: next((n for p, n in routing.QUERY_TYPES if re.search(p, q.lower())), "factual") for i, q in ASKED if q}
     assert kinds == want
-    domains = {r.request_id: (r.task, r.domain) for r in QUERIES["route_domain_scores_all"](spark, folder).collect()}
+    domains = {r.request_id: (r.task, r.domain) for r in QUERIES["route_domain_scores"](spark, folder).collect()}
     assert domains == {1: ("procedure", "admissions"), 2: ("compare", "departments"), 3: ("general", "fees"), 4: ("list", "programs")}
-    assert {(r.text_id, r.name) for r in QUERIES["longest_name_in_text_all"](spark, folder).collect()} == {(2, "robotics")}
+    assert {(r.text_id, r.name) for r in QUERIES["longest_name_in_text"](spark, folder).collect()} == {(2, "robotics")}
 
 
 def test_names_of_every_script(spark, folder):
-    assert [tuple(r) for r in QUERIES["duplicate_names_all"](spark, folder).collect()] == [("кафедра", 2, "college--x")]
-    assert {tuple(r) for r in QUERIES["kg_by_name_all"](spark, folder).collect()} == {("robotics", "department--r"), ("кафедра", "college--x"), ("m.des café lighting", "program--d")}
-    assert [r.share for r in QUERIES["name_token_overlap_all"](spark, folder).collect()] == [1.0]
+    assert [tuple(r) for r in QUERIES["duplicate_names"](spark, folder).collect()] == [("кафедра", 2, "college--x")]
+    assert {tuple(r) for r in QUERIES["kg_by_name"](spark, folder).collect()} == {("robotics", "department--r"), ("кафедра", "college--x"), ("m.des café lighting", "program--d")}
+    assert [r.share for r in QUERIES["name_token_overlap"](spark, folder).collect()] == [1.0]
 
 
 def test_first_edge_whatever_its_number(spark, folder):
-    assert {(r.source_id, r.target_id) for r in QUERIES["single_parent_all"](spark, folder).collect()} == {("a", "p"), ("c", "q"), ("a", "x")}
+    assert {(r.source_id, r.target_id) for r in QUERIES["single_parent"](spark, folder).collect()} == {("a", "p"), ("c", "q"), ("a", "x")}
 
 
 def test_chunks_hold_the_whole_text(spark, folder):
