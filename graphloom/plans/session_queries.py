@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.operators import admissions, chunking, evaluation, graph, hierarchy, matching, routing, sessions
-from graphloom.plans.answering import answer_queries as answer_all
+from graphloom.plans import answering
 from graphloom.plans.pipeline_queries import _LINKS
-from graphloom.providers import hashed_embedder
+from graphloom.providers import hashed_embedder, overlap_reranker
 from graphloom.sources.tables import table
 from graphloom.streaming import windows
 
@@ -190,16 +190,53 @@ def plan_answers(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("query_id", "response_shape", F.array_join("comparison_axes", ",").alias("axes"), F.size("candidate_items").alias("items"), F.size("steps").alias("steps"), F.array_join("missing_info", ",").alias("missing"))
 
 
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    pin = F.lit(None).cast("struct<type:string,value:string,entity_id:string,display_name:string>")
+    return table(spark, folder, "eval_case").select(F.col("id").alias("query_id"), "question", F.lit(None).cast("string").alias("selected_campus"), pin.alias("pinned"), F.lit("").alias("context"))
+
+
 def answer_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The eval cases answered from the documents, in one job."""
+    """The eval cases answered from the documents' chunks and the graph, in one job."""
     e, r = graph.entities_of(table(spark, folder, "entity")).filter("name IS NOT NULL"), graph.edges_of(table(spark, folder, "relationship"))
-    chunks = _docs(spark, folder).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("url").alias("source"), F.col("text").alias("document"))
-    pin = F.lit(None).cast("struct<type:string,value:string,entity_id:string,display_name:string>")
-    asked = table(spark, folder, "eval_case").select(F.col("id").alias("query_id"), "question", F.lit(None).cast("string").alias("selected_campus"), pin.alias("pinned"), F.lit("").alias("context"))
-    out = answer_all(asked, chunks, e, r, _campuses(spark, folder))
+    children, parents = answering.chunked(table(spark, folder, "documents"))
+    out = answering.answer_queries(_cases(spark, folder), children, e, r, _campuses(spark, folder), parents=parents)
     return out.select("query_id", "intent", "domain", "task", "confidence", F.length("response").alias("size"), F.size("sources").alias("sources"))
 
 
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse and dense search of the eval cases over all documents, fused."""
+    chunks = _docs(spark, folder).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"))
+    return answering.hybrid_search(_cases(spark, folder).select("query_id", "question"), chunks, 40, hashed_embedder(), 10)
+
+
+def hybrid_in_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's own question searched among the documents of this source only."""
+    chunks = _docs(spark, folder).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"), F.col("source").alias("scope"))
+    asked = table(spark, folder, "mix_target").select(F.col("source").alias("query_id"), F.lit("annual fee of the hostel").alias("question"), F.col("source").alias("scope"))
+    return answering.hybrid_search(asked, chunks, 40, None, 5).select("query_id", "chunk_id", "rank")
+
+
+def retrieve_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search, reranking, boosts, diversity and parents of the eval cases over the chunks of all documents."""
+    children, parents = answering.chunked(table(spark, folder, "documents"))
+    found = answering.retrieve(_cases(spark, folder).select("query_id", "question"), children, rerank=overlap_reranker(), embed=hashed_embedder())
+    return answering.with_parents(found, parents).select("query_id", "rank.first", "rank.rank", "source", F.length("document").alias("size"))
+
+
+def decompose_retrieve(spark: SparkSession, folder: str) -> DataFrame:
+    """What the steps of the comparing chat questions' plans find, with the step that found it."""
+    e, r = graph.entities_of(table(spark, folder, "entity")).filter("name IS NOT NULL"), graph.edges_of(table(spark, folder, "relationship"))
+    planned = routing.plan(routing.route(_questions(spark, folder), e, _campuses(spark, folder)), e, r)
+    asked = answering.steps(planned).select(F.concat_ws("|", "query_id", "step").alias("query_id"), "question")
+    children, _ = answering.chunked(table(spark, folder, "documents"))
+    return answering.retrieve(asked, children, rerank=overlap_reranker(), final=4).select("query_id", "chunk_id", "rank")
+
+
+def route_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    e = graph.entities_of(table(spark, folder, "entity")).filter("name IS NOT NULL")
+    return routing.to_metadata(routing.route(_questions(spark, folder), e, _campuses(spark, folder)))
+
+
 def event_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     return windows.tumbling(table(spark, folder, "events")).select(F.col("start").cast("string").alias("start"), "event_type", "events", F.round("value", 2).alias("value"))
 
@@ -237,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_semantic, chunk_fallback, chunk_parent, chunk_ids, chunk_ids_all, name_token_overlap, fuzzy_best_match, longest_name_in_text, reconcile_tiers, reconcile_missing, reconcile_stale, reconcile_fuzzy, department_match,
-        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, route_domain_scores, route_queries, plan_answers, answer_queries,
+        session_context, session_recent_turns, pronoun_followups, cache_ttl_sim, cache_stats, cache_evict, eval_metrics, eval_summary, intent_classify, route_domain_scores, route_queries, plan_answers, answer_queries, hybrid_search, hybrid_in_scope, retrieve_full, decompose_retrieve, route_metadata,
         event_tumbling, event_sliding, event_sessions, page_sections, governing_admissions, hashed_vectors,
     )
 }
@@ -304,7 +341,7 @@ _FLAGS = {
     "is_btech_query": _BT, "is_role_query": _has(_W(r"hod|head\s+of(\s+the)?\s+department|head\s+of|chairperson|chair\s+person|department\s+head")),
 }
 _TYPE = _case([(_has(p), n) for p, n in _R.QUERY_TYPES], "factual")
-_ASKED = f"(SELECT DISTINCT request_id, query, {_ascii('query')} AS plain FROM chat_request WHERE query IS NOT NULL)"
+_ASKED = f"(SELECT DISTINCT request_id, query, lower(replace(query, 'İ', 'I')) AS plain FROM chat_request WHERE query IS NOT NULL)"
 _TASK = _case([(_has(_R.COMPARE), "compare"), (_has(_R.LIST), "list"), (_has(_R.ELIGIBILITY), "eligibility_check"), (_has(_R.PROCEDURE), "procedure"), (_has(_R.TIMELINE), "timeline"), (_has(_R.ROLE), "lookup")], "general")
 
 
@@ -378,6 +415,11 @@ ORACLES = {
       CASE WHEN {_FLAGS['is_admission_date_query']} THEN 'admission_date' WHEN {_FLAGS['is_how_to_apply_query']} THEN 'how_to_apply' WHEN {_has(_R.ADMISSION)} THEN 'admission_query' ELSE {_TYPE} END AS label FROM {_ASKED}""",
     "route_domain_scores": f"""WITH t AS (SELECT *, {_TASK} AS task FROM {_ASKED}), s AS (SELECT request_id, task, {', '.join(f'{c} AS {d}' for d, c in _SCORES.items())} FROM t)
       SELECT request_id, task, CASE WHEN greatest({', '.join(_SCORES)}) <= 0 THEN 'general' {' '.join(f'''WHEN {d} = greatest({', '.join(_SCORES)}) THEN '{d}' ''' for d in _R.DOMAINS if d in _SCORES)} END AS domain FROM s""",
+    "hybrid_in_scope": """WITH d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL),
+      stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), posts AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN ('annual', 'fee', 'of', 'the', 'hostel') GROUP BY ALL),
+      terms AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM posts, stats GROUP BY term),
+      scores AS (SELECT doc_id, round(sum(idf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1)))), 6) AS score FROM posts JOIN terms USING (term), stats GROUP BY doc_id)
+      SELECT source AS query_id, doc_id AS chunk_id, rank FROM (SELECT d.source, s.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY score DESC, s.doc_id) AS rank FROM scores s JOIN d USING (doc_id) WHERE d.source IN (SELECT source FROM mix_target)) WHERE rank <= 5""",
     "event_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(round(sum(value), 4), 2) AS value FROM events GROUP BY ALL",
     "event_sliding": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, round(round(sum(value), 4), 2) AS value
       FROM (SELECT value, unnest(generate_series(time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 18 HOURS, time_bucket(INTERVAL 6 HOURS, ts), INTERVAL 6 HOURS)) AS w FROM events) GROUP BY w""",
