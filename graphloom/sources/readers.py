@@ -75,6 +75,54 @@ def write_index(chunks: DataFrame, terms: DataFrame, stats: DataFrame, folder: s
     stats.write.mode("overwrite").parquet(f"{folder}/corpus_stats")
 
 
+#: Fields that a chunk of an index must have.
+CHUNK_FIELDS = ("chunk_id", "chunk_level", "parent_id", "chunk_type", "document")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, term statistics, corpus totals) of a written index; an error names the fields that its chunks lack."""
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    if lacking := [f for f in CHUNK_FIELDS if f not in chunks.columns]:
+        raise ValueError(f"the index at {folder} is of another version: its chunks lack {', '.join(lacking)}")
+    return chunks, spark.read.parquet(f"{folder}/term_stats"), spark.read.parquet(f"{folder}/corpus_stats")
+
+
+def upsert_index(chunks: DataFrame, folder: str) -> None:
+    """Bring chunks into an index by id: known ids are replaced, new ones added, so a second run changes nothing.
+
+    The new state is written beside the old one, which is then replaced as a whole; an interrupted run leaves the old one. Of rows
+    with one id in chunks one is kept. The statistics are to be written anew from read_index's chunks.
+    """
+    spark = chunks.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = place("chunks").getFileSystem(conf)
+    after = chunks.dropDuplicates(["chunk_id"])
+    if files.exists(place("chunks")):
+        before = spark.read.parquet(f"{folder}/chunks")
+        after = before.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(after, allowMissingColumns=True)
+    after.write.mode("overwrite").partitionBy("chunk_level").parquet(f"{folder}/chunks_next")
+    files.delete(place("chunks"), True)
+    files.rename(place("chunks_next"), place("chunks"))
+
+
+def write_profiles(profiles: DataFrame, folder: str) -> None:
+    """Profiles as JSON lines, as read_profiles reads them."""
+    profiles.write.mode("overwrite").json(folder)
+
+
+def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles (url, name, sections, links by category, scraped_at) that write_profiles wrote; unknown fields are ignored."""
+    links = ", ".join(f"{c}_links array<struct<label:string,url:string>>" for c in ("apply", "exam", "prospectus"))
+    return spark.read.schema(f"url string, name string, sections map<string,string>, {links}, scraped_at timestamp").json(folder)
+
+
+def write_evaluation(scored: DataFrame, summary: DataFrame, folder: str) -> None:
+    """An evaluation as two JSON tables: one row per result, and the summary."""
+    scored.write.mode("overwrite").json(f"{folder}/results")
+    summary.write.mode("overwrite").json(f"{folder}/summary")
+
+
 def report(matched: DataFrame, stale: DataFrame, missing: DataFrame, rows: int = 1000) -> str:
     """A reconciliation as markdown: matches by falling score, stale and missing names, at most `rows` of each shown with the total."""
     out = []

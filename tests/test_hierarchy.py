@@ -51,6 +51,8 @@ def test_nested_sets_describe_the_trees(spark):
         assert below == {b.id for b in whole if a.id in b.path[:-1]} and len(below) == a.descendants
     top = spark.createDataFrame([("k4",)], "id string")
     assert {r.id for r in hierarchy.descendants(tree, top).collect()} == {b.id for b in whole if "k4" in b.path[:-1]}
+    pairs = {(r.ancestor, r.id, r.distance) for r in hierarchy.descendants(tree, tree.select("id"), width=3).collect()}
+    assert pairs == {(a, r.id, r.depth - i) for r in t.values() if r.path for i, a in enumerate(r.path[:-1])}
 
 
 def test_references_by_kind(spark):

@@ -1,9 +1,11 @@
 import json
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import html, pages, text
-from graphloom.operators import admissions, chunking
+from graphloom.operators import admissions, chunking, retrieval
 from graphloom.sources import readers
 
 PAGE = """<html><head><title> A  page </title><meta name="description" content="About it"><meta property="og:title" content="T"></head><body><nav>menu</nav>
@@ -76,3 +78,35 @@ def test_index_and_report(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ix/chunks")).count() == chunks.count() and not chunking.packs_versions(chunks)
     m = spark.createDataFrame([("B.A", 0.9, "x")], "name string, score double, method string")
     assert "## Matched: 1" in readers.report(m, m.select("name"), m.select("name"))
+
+
+def test_index_life_cycle(spark, tmp_path):
+    docs = spark.createDataFrame([("https://h.example/a", "A", "First text of the page.", "", ""), ("https://h.example/b", "B", "Other text.", "", "")], "url string, title string, content string, table_text string, infobox_text string")
+    folder, chunks = str(tmp_path / "ix"), chunking.build_chunks(docs, lossless=True)
+    readers.upsert_index(chunks, folder)
+    readers.upsert_index(chunks, folder)
+    assert spark.read.parquet(f"{folder}/chunks").count() == chunks.count()
+    changed = chunking.build_chunks(docs.filter("title = 'A'").withColumn("content", F.lit("New text of the page.")), lossless=True)
+    readers.upsert_index(changed, folder)
+    by_text = spark.read.parquet(f"{folder}/chunks").filter("chunk_level = 'child'").selectExpr("chunk_id doc_id", "document text")
+    assert sorted(r.text.split("\n")[-1] for r in by_text.collect()) == ["New text of the page.", "Other text."]
+    posts, stats = retrieval.postings(by_text), retrieval.corpus_stats(by_text)
+    retrieval.term_stats(posts, stats).write.parquet(f"{folder}/term_stats")
+    stats.write.parquet(f"{folder}/corpus_stats")
+    read, terms, totals = readers.read_index(spark, folder)
+    asked = spark.createDataFrame([("q", "new page")], "query_id string, question string")
+    found = retrieval.search_sparse(asked, by_text, 3, index=(posts, totals))
+    assert found.collect() == retrieval.search_sparse(asked, by_text, 3).collect() and terms.count() and read.count() == chunks.count()
+    read.drop("parent_id").write.mode("overwrite").parquet(str(tmp_path / "old/chunks"))
+    with pytest.raises(ValueError, match="parent_id"):
+        readers.read_index(spark, str(tmp_path / "old"))
+
+
+def test_profiles_and_evaluations_round_trip(spark, tmp_path):
+    rows = [("u", "n", {"fees": "Rs. 5"}, [("Apply", "https://h.example/apply")], [], [], datetime(2024, 1, 2, 3))]
+    links = "array<struct<label:string,url:string>>"
+    profiles = spark.createDataFrame(rows, f"url string, name string, sections map<string,string>, apply_links {links}, exam_links {links}, prospectus_links {links}, scraped_at timestamp")
+    readers.write_profiles(profiles, str(tmp_path / "p"))
+    assert readers.read_profiles(spark, str(tmp_path / "p")).collect() == profiles.collect()
+    readers.write_evaluation(spark.range(3), spark.range(1), str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e/results")).count() == 3 and spark.read.json(str(tmp_path / "e/summary")).count() == 1
