@@ -197,7 +197,10 @@ def found(chat_request: DataFrame, chat_response: DataFrame, eval_results: DataF
     """Columns src_table, row_id, defect. Repeated requests, responses and results count once."""
     asked = chat_request.groupBy("request_id").agg(F.min("query").alias("question"))
     said = chat_response.select("response_id", "request_id", "response").distinct()
-    chat = spread_join(said, asked, ["request_id"], "response_id", "left").select(
+    # A request with more than a 200th of the responses; there are fewer than 200 of these.
+    most = max(1000, chat_response.count() // 200)
+    hot = chat_response.groupBy("request_id").count().filter(F.col("count") > most)
+    chat = spread_join(said, asked, ["request_id"], "response_id", "left", hot=hot).select(
         F.lit("chat_response").alias("src_table"), F.col("response_id").alias("row_id"), "question", F.col("response").alias("answer"), F.lit(False).alias("cut")
     )
     tests = eval_results.select(

@@ -388,3 +388,19 @@ def test_held_out_boundaries_of_the_corpus(spark):
                 if y is not None:
                     right, wrong = right + (m.boundary(p) == bool(y)), wrong + (m.boundary(p) != bool(y))
     assert right > 100 and right / (right + wrong) > 0.98
+
+
+def test_copies_of_a_join_side_are_not_broadcast_and_only_hot_keys_are_copied(spark):
+    from graphloom.operators.skew import spread_join
+
+    many = spark.createDataFrame([(i, None if i % 7 == 0 else 5 if i % 2 else i) for i in range(100)], "row long, k long")
+    one = spark.createDataFrame([(k, k * 10) for k in range(60)], "k long, v long")
+    want = {(i, None if k is None or k >= 60 else k * 10) for i, k in many.collect()}
+    for hot in (None, one.filter("k = 5").select("k")):
+        joined = spread_join(many, one, ["k"], "row", "left", hot=hot)
+        assert {(r.row, r.v) for r in joined.collect()} == want and joined.count() == 100
+        assert {(r.row, r.k) for r in spread_join(many, one, ["k"], "row", "left_anti", hot=hot).collect()} == {(i, k) for i, k in many.collect() if k is None or k >= 60}
+        last = [line for line in joined._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "__salt" in line]
+        assert last and all("SortMergeJoin" in line for line in last)
+    rows = spread_join(many, one, ["k"], "row", "left", hot=one.filter("k = 5").select("k"))
+    assert "sequence(0, CASE WHEN" in rows._jdf.queryExecution().analyzed().toString()
